@@ -6,7 +6,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 OP5 = rf"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 s as (
   select distinct doc_id, array_to_string(w[i : i + 4], ' ') as sh
