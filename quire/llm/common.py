@@ -30,6 +30,26 @@ def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(fn, schema)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(text, y) of the documents that a 0/1 label is known of.
+
+    A Bloom filter of the labelled ids (Spark's own, of bounded size) is pushed into the scan of the documents, so that
+    texts without a label are not shuffled; where the labels outgrow it, the join is a plain one."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("k")).select("text", "y")
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """(text, y) of at most `rows` labelled ids, those with the smallest hash; only those ids are broadcast, so the texts
+    are read without a shuffle."""
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
+    few = known.orderBy(F.xxhash64("k"), "k", "y").limit(rows)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return src.join(F.broadcast(few), F.col("id") == F.col("k")).orderBy("id", F.xxhash64("text")).limit(rows).select("text", "y")
+
+
 class Workspace:
     """Written tables that cut lineage. They lie below spark.checkpoint.dir, which every executor reaches; where it
     is unset, as in tests, a folder of the session's warehouse takes its place."""
