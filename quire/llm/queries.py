@@ -53,9 +53,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(table(spark, sf_dir, "documents"), model), 0.5)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm import packing
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
     "op2_pii": op2_pii,
     "op4_langid": op4_langid,
     "op5_minhash": op5_minhash,
