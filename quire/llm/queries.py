@@ -62,11 +62,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm import pieces
+
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), output="digest")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op2_pii": op2_pii,
+    "op3_pieces": op3_pieces,
     "op4_langid": op4_langid,
     "op5_minhash": op5_minhash,
 }
