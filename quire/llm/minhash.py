@@ -8,9 +8,10 @@ share one of those (prefix). Collisions are then counted over whole signatures,
 links are confirmed on the full shingle sets, recomputed from the texts.
 
 Only components are asked for, so a list of similar sets is not expanded into pairs. In each list every set is first
-held against one centre (the set with the most frequent values, which in a family of copies is the nearest to all), in
-STARS rounds; a later round skips what is already in one component. What lists still hold apart is then compared across
-components only, in blocks, and confirmed in the same way, so that no link between candidates goes missing.
+held against one centre (the set with the most frequent values, which in a family of copies is the nearest to all). What
+a list still holds apart is then compared across components, a pair of blocks of BLOCK sets at a time, and confirmed there
+by products of indicator matrices; a block pair gives the links of a spanning forest, so that no link between candidates
+goes missing and none is written that components do not need.
 
 Two sets of similarity s agree in a binomial number of COORDS coordinates; at s = 0.85 the chance to fall below NEED is
 under 2e-4 for one pair, and a component is lost only if all its pairs are.
@@ -35,9 +36,8 @@ from quire.llm.components import components
 SHINGLE = 5
 COORDS = 64
 NEED = 44
-STARS = 2
 #: Sets of one list that are compared with one another in one task.
-BLOCK = 512
+BLOCK = 256
 
 _U = np.uint64
 _MULT = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, COORDS, dtype=_U) | _U(1)
@@ -156,27 +156,62 @@ def _apart(ws: Workspace, posts: DataFrame, comp: DataFrame) -> DataFrame:
     return ws.save(now.join(mixed, "token"))
 
 
-def _across(ws: Workspace, posts: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs between components that share a list, found block by block on whole signatures."""
-    sized = posts.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+def _forest(n: int, link: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of n nodes under a boolean link matrix."""
+    top = np.arange(n)
+    out = []
+    for i in range(n):
+        for j in np.flatnonzero(link[i] & (top != top[i])):
+            if top[i] != top[j]:
+                out.append((i, int(j)))
+                top[top == top[j]] = top[i]
+    return out
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as products of the sets' indicator matrix, some thousand shingles at a time."""
+    n = len(sets)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    use = count[col] > 1
+    row, col = row[use], shared[col[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((n, n), np.float32)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, 8192):
+        i, j = np.searchsorted(col, (c, c + 8192))
+        m = np.zeros((n, min(8192, int(col[-1]) + 1 - c)), np.float32)
+        m[row[i:j], col[i:j] - c] = 1
+        both += m @ m.T
+    both[np.arange(n), np.arange(n)] = [len(x) for x in sets]
+    return both.astype(np.int64)
+
+
+def _across(apart: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join what lists still hold apart, confirmed on full sets; of each block pair only a spanning forest."""
+    sized = apart.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # a work item is an unordered pair of a list's blocks; a row goes to the items of its block
     items = sized.select("token", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    items = items.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "comp")
-    items = items.join(sigs.select("rep", "sig"), "rep")
+    items = items.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "comp")
+    items = items.join(sigs, "rep").join(bodies, "rep")
     two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    num, den = threshold
 
     def compare(t: pa.Table) -> pa.Table:
-        rep, comp, block = (np.asarray(t.column(k)) for k in ("rep", "comp", "block"))
+        rep, comp = (np.asarray(t.column(k)) for k in ("rep", "comp"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, COORDS)
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        near = np.stack([_matches(sig, s) >= NEED for s in sig]) & (comp[:, None] != comp[None, :])
+        some = np.flatnonzero(near.any(axis=1))
         found = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if x == y else True)]
-            j = j[_matches(sig[j], sig[i]) >= NEED]
-            found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1))
-        ab = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(ab[:, 0]), pa.array(ab[:, 1])], schema=two)
+        if len(some):
+            sets = list(shingle_sets(t.column("text").take(pa.array(some))))
+            both = _common(sets)
+            size = np.array([len(x) for x in sets])
+            link = near[np.ix_(some, some)] & (den * both >= num * (size[:, None] + size[None, :] - both))
+            found = [(rep[some[i]], rep[some[j]]) for i, j in _forest(len(some), link)]
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=two)
 
     return items.groupBy("token", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
@@ -194,23 +229,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = posts.select(F.col("rep").alias("able")).distinct()
     bodies = ws.save(texts.join(able, F.col("rep") == F.col("able"), "left_semi").dropDuplicates())
     sigs = ws.save(sigs.join(able, F.col("rep") == F.col("able"), "left_semi"))
-    links = posts.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    comp = links.toDF("node", "component")
-    apart = posts.select("token", "rep", "weight", F.col("rep").alias("comp"))
-    for stage in range(STARS + 1):
-        if stage < STARS:
-            centre = apart.groupBy("token").agg(F.max(F.struct("weight", F.col("rep").alias("centre"), "comp")).alias("c")).select("token", "c.centre", F.col("c.comp").alias("own"))
-            found = apart.join(centre, "token").where("comp <> own")
-            pairs = found.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        else:
-            pairs = _across(ws, apart, sigs)
-        pairs = ws.save(pairs)
-        if pairs.isEmpty():
-            break
-        links = links.union(_confirm(ws, pairs, sigs, bodies, threshold))
-        comp = components(ws, links)
-        if stage < STARS:
-            apart = _apart(ws, posts, comp)
+    comp = posts.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    centre = posts.groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("c")).select("token", F.col("c.rep").alias("centre"))
+    found = posts.join(centre, "token").where("rep <> centre")
+    pairs = ws.save(found.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
+    if not pairs.isEmpty():
+        comp = components(ws, _confirm(ws, pairs, sigs, bodies, threshold))
+        links = ws.save(_across(_apart(ws, posts, comp), sigs, bodies, threshold))
+        if not links.isEmpty():
+            comp = components(ws, links.union(comp.toDF("a", "b")))
     top = classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
     top = ws.save(top)
     out = every.select("doc_id", "n_shingles", F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).join(top, (F.col("f1") == F.col("fp1")) & (F.col("f2") == F.col("fp2")) & (F.col("n") == F.col("n_shingles")), "left")
