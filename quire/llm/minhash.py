@@ -37,7 +37,7 @@ SHINGLE = 5
 COORDS = 64
 NEED = 44
 #: Sets of one list that are compared with one another in one task.
-BLOCK = 256
+BLOCK = 512
 
 _U = np.uint64
 _MULT = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, COORDS, dtype=_U) | _U(1)
