@@ -70,10 +70,31 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), output="digest")
 
 
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import forest
+
+    return forest.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op10_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import pstable
+
+    return pstable.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import suffixes
+
+    return suffixes.removals(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op6_suffixes": op6_suffixes,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_forest": op9_forest,
+    "op10_pstable": op10_pstable,
     "op2_pii": op2_pii,
     "op3_pieces": op3_pieces,
     "op4_langid": op4_langid,
