@@ -1,15 +1,56 @@
-"""A training-data pipeline over `documents`: each stage is one operator of quire.llm."""
+"""A training-data pipeline over `documents`: each stage is one operator of quire.llm and works on all that the stage
+before it kept. Stages but the last return the columns of `documents`."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quire.llm import minhash, packing, pii, suffixes, toxicity
+from quire.llm.common import crc_mod, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the class-conditional models call toxic; they learn from the labelled documents that are not held out."""
+    taught = crc_mod("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(taught), table(spark, sf_dir, "labels").where(taught))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a shingle similarity of 0.8 or more, the one with the smallest id stays."""
+    return minhash.deduplicate(docs, threshold=(80, 100))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages of 400 bytes and more that also stand elsewhere."""
+    return suffixes.drop_repeats(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark of its kind in the place of each piece of personal data."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of all documents into sequences of 2048."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("minhash", drop_near_duplicates),
+    ("suffixes", cut_repeats),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: No stage has an SQL form; tests/llm holds them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

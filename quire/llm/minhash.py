@@ -1,10 +1,10 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Each distinct shingle set is signed with COORDS coordinates and posted under every (coordinate, value). A coordinate
-value that one set alone has can collide with nothing, so merging skips its list; a set with fewer than NEED shared
+value that one set alone has can collide with nothing, so merging skips its list; a set with fewer than `need` shared
 values can reach the match threshold with no other and drops out whole (skip). What is left is ordered from rare to
-frequent values, and only the first COORDS - NEED + 1 of that order are joined: two sets that agree in NEED coordinates
-share one of those (prefix). Collisions are then counted over whole signatures, pairs from NEED on are retained, and the
+frequent values, and only the first COORDS - need + 1 of that order are joined: two sets that agree in `need` coordinates
+share one of those (prefix). Collisions are then counted over whole signatures, pairs from `need` on are retained, and the
 links are confirmed on the full shingle sets, recomputed from the texts.
 
 Only components are asked for, so a list of similar sets is not expanded into pairs. In each list every set is first
@@ -13,8 +13,9 @@ a list still holds apart is then compared across components, a pair of blocks of
 by products of indicator matrices; a block pair gives the links of a spanning forest, so that no link between candidates
 goes missing and none is written that components do not need.
 
-Two sets of similarity s agree in a binomial number of COORDS coordinates; at s = 0.85 the chance to fall below NEED is
-under 2e-4 for one pair, and a component is lost only if all its pairs are.
+Two sets of similarity s agree in a binomial number of COORDS coordinates; `need` lies 3.5 standard deviations below the
+mean at the threshold (44 of 64 at 0.85, 40 at 0.8), so that one pair at the threshold falls short with a chance of about
+2e-4, and a component is lost only if all its pairs do.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; exact copies (and all texts with the
 same shingle set) are one class whatever their number; rows with a null id are linked like others but never lend their
@@ -24,6 +25,8 @@ repeat an id with different texts count as one node that has both texts' links.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +38,6 @@ from quire.llm.components import components
 
 SHINGLE = 5
 COORDS = 64
-NEED = 44
 #: Sets of one list that are compared with one another in one task.
 BLOCK = 512
 
@@ -95,8 +97,13 @@ def _matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x == y).sum(axis=-1)
 
 
-def _posts(ws: Workspace, sigs: DataFrame) -> DataFrame:
-    """(token, rep, weight): the joined prefix of each set that can still reach NEED."""
+def needed(threshold: tuple[int, int]) -> int:
+    s = threshold[0] / threshold[1]
+    return max(1, int(COORDS * s - 3.5 * math.sqrt(COORDS * s * (1 - s))))
+
+
+def _posts(ws: Workspace, sigs: DataFrame, need: int) -> DataFrame:
+    """(token, rep, weight): the joined prefix of each set that can still reach `need`."""
     values = pa.schema([("rep", pa.int64()), ("token", pa.int64())])
 
     def spread(batches):
@@ -109,12 +116,13 @@ def _posts(ws: Workspace, sigs: DataFrame) -> DataFrame:
     tokens = arrow_pass(sigs.select("rep", "sig"), spread, "rep long, token long")
     df = tokens.groupBy("token").count().where("count > 1")
     shared = tokens.join(df, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"), F.sum(F.log("count")).alias("weight"))
-    prefix = shared.where(F.size("t") >= NEED).select("rep", "weight", F.explode(F.slice("t", F.lit(1), F.size("t") - (NEED - 1))).alias("t"))
+    prefix = shared.where(F.size("t") >= need).select("rep", "weight", F.explode(F.slice("t", F.lit(1), F.size("t") - (need - 1))).alias("t"))
     return ws.save(prefix.select(F.col("t.token").alias("token"), "rep", "weight"))
 
 
 def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b): those that agree in NEED coordinates and whose full sets reach the threshold."""
+    """Of pairs (a, b): those that agree in `need` coordinates and whose full sets reach the threshold."""
+    need, (num, den) = needed(threshold), threshold
     near = (
         pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
         .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
@@ -124,11 +132,10 @@ def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, bodies: DataFrame
     def count(batches):
         for x in batches:
             sa, sb = (np.frombuffer(b"".join(x.column(i).to_pylist()), "<u4").reshape(-1, COORDS) for i in (2, 3))
-            m = pa.array(_matches(sa, sb) >= NEED)
+            m = pa.array(_matches(sa, sb) >= need)
             yield pa.RecordBatch.from_arrays([x.column(0).filter(m), x.column(1).filter(m)], schema=two)
 
     kept = ws.save(arrow_pass(near.select("a", "b", "sa", "sb"), count, "a long, b long"))
-    num, den = threshold
 
     def exact(batches):
         for x in batches:
@@ -197,12 +204,12 @@ def _across(apart: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: tup
     items = items.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "comp")
     items = items.join(sigs, "rep").join(bodies, "rep")
     two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    num, den = threshold
+    need, (num, den) = needed(threshold), threshold
 
     def compare(t: pa.Table) -> pa.Table:
         rep, comp = (np.asarray(t.column(k)) for k in ("rep", "comp"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, COORDS)
-        near = np.stack([_matches(sig, s) >= NEED for s in sig]) & (comp[:, None] != comp[None, :])
+        near = np.stack([_matches(sig, s) >= need for s in sig]) & (comp[:, None] != comp[None, :])
         some = np.flatnonzero(near.any(axis=1))
         found = []
         if len(some):
@@ -218,14 +225,14 @@ def _across(apart: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: tup
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (85, 100), name: str = "near") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs. threshold: (numerator, denominator) of the least
-    similarity; NEED is made for 0.8 and more."""
+    similarity, which the signatures are long enough for from about 0.7 on."""
     ws = Workspace(docs.sparkSession, name)
     every = ws.save(signatures(docs, id_col, text_col))
     known = every.where("doc_id is not null and n_shingles > 0")
     classes = ws.save(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     sigs = ws.save(known.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep", "sig"]))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    posts = _posts(ws, sigs)
+    posts = _posts(ws, sigs, needed(threshold))
     able = posts.select(F.col("rep").alias("able")).distinct()
     bodies = ws.save(texts.join(able, F.col("rep") == F.col("able"), "left_semi").dropDuplicates())
     sigs = ws.save(sigs.join(able, F.col("rep") == F.col("able"), "left_semi"))
@@ -243,3 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = every.select("doc_id", "n_shingles", F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).join(top, (F.col("f1") == F.col("fp1")) & (F.col("f2") == F.col("fp2")) & (F.col("n") == F.col("n_shingles")), "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs, all columns, with one row of each component: the one with the smallest id. Rows without an id take part and
+    stay only if no row with an id is like them; of rows that repeat an id one stays; texts without words all stay."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 61) - 1)))
+    keyed = docs.withColumn("quire_id", own)
+    kept = near_duplicates(keyed, "quire_id", text_col, threshold, "dedup").where("kept").select(F.col("doc_id").alias("quire_kept")).distinct()
+    return keyed.join(kept, F.col("quire_id") == F.col("quire_kept"), "left_semi").dropDuplicates(["quire_id"]).drop("quire_id")
