@@ -7,8 +7,8 @@ windows are merged into full ones and one rest; rests of GROUP partitions are me
 one is left. That last rest is cut at powers of two, at which a sequence needs no padding. A task holds WINDOWS + 1
 windows at most; a merge holds GROUP rests.
 
-Texts are encoded by white-space chunks, each distinct one once: the tokenizer drops white space and never joins what it
-separates. Texts with other than plain white space are encoded whole.
+Texts are encoded by units (letter runs and the like, see UnitTokenizer), each distinct one once. Texts that may hold
+white space beyond ASCII are encoded whole.
 
 Defined results: null counts as an empty text, which has its end id alone; ids may be null or repeat, each row is a
 document; an empty table gives no piece; extra columns are not read.
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,14 +32,27 @@ from quire.llm.common import Workspace, arrow_pass
 
 WINDOWS = 32
 GROUP = 256
-#: Distinct chunks that a worker remembers before it starts anew.
-REMEMBER = 400_000
+#: Distinct units that a worker remembers before it starts anew.
+REMEMBER = 800_000
 
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+# Bytes: 1 letter, 2 digit or mark that ends no letter run's meaning, 4 what makes a chunk be encoded whole.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = 1
+_KIND[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x27, 0x7F]] = 4
+_KIND[0x80:0xC3] = 4
+_KIND[0xC4:] = 4
+# Bytes that white space beyond ASCII, or control characters taken for it, may begin with.
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_SLOTS = 22
 
 
-class ChunkTokenizer:
-    """Token ids of texts, by a memory of white-space chunks."""
+class UnitTokenizer:
+    """Token ids of texts, by a memory of units.
+
+    The tokenizer lower-cases, drops white space, and takes letter runs and runs of other marks apart. A white-space chunk
+    of Latin-1 letters, digits and ASCII marks but the apostrophe is therefore the same as its runs one by one, each run a
+    unit; any other chunk is a unit whole. Units are known by a 64-bit hash of their lower-cased bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,69 +60,120 @@ class ChunkTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a word
+        for token, i in self.tok.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.size, self.flat = [], [], np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.slot = np.full(1 << _SLOTS, -1, np.int32)
+        self.hash, self.start, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.count = self.used = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in memory, -1 for none. A slot is tried at each of a few steps after the hash's own."""
+        out = np.full(len(h), -1, np.int64)
+        rest = np.arange(len(h))
+        at = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        while len(rest):
+            k = self.slot[at]
+            hit = (k >= 0) & (self.hash[k] == h[rest])
+            out[rest[hit]] = k[hit]
+            on = (k >= 0) & ~hit
+            rest, at = rest[on], (at[on] + 1) & ((1 << _SLOTS) - 1)
+        return out
 
-    def _add(self, key: str, ids) -> int:
-        n = len(ids)
-        while self.used + n > len(self.flat):
+    def _add(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        n, m = len(h), len(ids)
+        while self.count + n > len(self.hash):
+            self.hash, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.start, self.size))
+        while self.used + m > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        k = self.known[key] = len(self.start)
-        self.start.append(self.used)
-        self.size.append(n)
-        self.used += n
-        return k
-
-    def _ids(self, k: int) -> np.ndarray:
-        return self.flat[self.start[k] : self.start[k] + self.size[k]]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Encodes what is new; ASCII case and a last full stop or comma are taken apart, since the tokenizer does so too."""
-        parts = {}
-        for c in chunks:
-            parts[c] = (c,)
-            if c.isascii():
-                low = c.lower()
-                parts[c] = (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low,)
-        new = sorted({p for ps in parts.values() for p in ps} - self.known.keys())
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._add(p, e.ids)
-        for c, ps in parts.items():
-            if c not in self.known:
-                self._add(c, np.concatenate([self._ids(self.known[p]) for p in ps]))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBER:
-            self.reset()
-        split = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts]
-        known = self.known
-        if fresh := {c for s in split if s for c in s if c not in known}:
-            self._learn(fresh)
-        start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            k = np.fromiter(map(known.__getitem__, s), np.int64, len(s))
-            n = size[k]
-            total = int(n.sum())
-            at = np.repeat(start[k] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(k) else n, n) + np.arange(total)
-            out.append(self.flat[at])
+        k = np.arange(self.count, self.count + n)
+        self.hash[k], self.size[k], self.start[k] = h, size, self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + m] = ids
+        at = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        while len(k):  # open addressing; of those that want one slot the last gets it
+            free = self.slot[at] < 0
+            self.slot[at[free]] = k[free]
+            on = self.slot[at] != k
+            k, at = k[on], (at[on] + 1) & ((1 << _SLOTS) - 1)
+        self.count, self.used = self.count + n, self.used + m
+
+    def _learn(self, h: np.ndarray, units: list[str], letters: np.ndarray) -> None:
+        """Letter runs give one word each, so many are encoded as one text and told apart by the tokens that end words."""
+        words, other = np.flatnonzero(letters), np.flatnonzero(~letters)
+        for i in range(0, len(words), 4096):
+            k = words[i : i + 4096]
+            ids = np.array(self.tok.encode(" ".join([units[j] for j in k]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(k):
+                raise ValueError("words could not be told apart")
+            self._add(h[k], np.diff(ends, prepend=0), ids)
+        got = [e.ids for e in self.tok.encode_batch_fast([units[j] for j in other], add_special_tokens=False)]
+        self._add(h[other], np.array([len(x) for x in got], np.int64), np.array([y for x in got for y in x], np.uint32))
+
+    def _units(self, buf: np.ndarray, off: np.ndarray):
+        """Starts and ends of units, whether they are letters, lower-cased bytes."""
+        kind = _KIND[buf]
+        low = tk.LOWER[buf]
+        after = np.zeros(len(buf), bool)
+        after[1:] = buf[:-1] == 0xC3
+        after &= (buf >= 0x80) & (buf < 0xC0)
+        kind[after & (buf != 0x97) & (buf != 0xB7)] = 1
+        kind[after & ((buf == 0x97) | (buf == 0xB7))] = 4
+        low[after & (buf <= 0x9E) & (buf != 0x97)] += 0x20
+        s, e, _ = tk.word_spans(buf, off)
+        bad = np.concatenate([[0], np.cumsum(kind == 4)])
+        safe = bad[e] == bad[s]
+        inner = np.zeros(len(buf) + 1, np.int32)
+        inner[s[safe]] += 1
+        inner[e[safe]] -= 1
+        turn = np.zeros(len(buf), bool)
+        turn[1:] = (kind[1:] != kind[:-1]) & (np.cumsum(inner[:-1])[1:] > 0)
+        turn[s] = False
+        cut = np.flatnonzero(turn & ~tk.SPACE[buf])
+        s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
+        return s, e, (kind[s] == 1) & (bad[e] == bad[s]), low
+
+    def encode(self, col) -> list[np.ndarray]:
+        """Ids of each row of an Arrow column of texts."""
+        out: list[np.ndarray] = []
+        for a, b, buf, off in tk.slices(col):
+            if self.count > REMEMBER:
+                self.reset()
+            odd = np.concatenate([[0], np.cumsum(_ODD[buf])])
+            whole = np.flatnonzero(odd[off[1:]] > odd[off[:-1]])
+            s, e, letters, low = self._units(buf, off)
+            h = tk.span_hash(tk.prefix_hash(low), s, e)
+            k = self._find(h)
+            miss = np.flatnonzero(k < 0)
+            if len(miss):
+                new, first = np.unique(h[miss], return_index=True)
+                first = miss[first]
+                raw = low.tobytes()
+                for i in range(0, len(new), 1 << 17):
+                    f = first[i : i + (1 << 17)]
+                    self._learn(new[i : i + (1 << 17)], [raw[x:y].decode("utf-8", "replace") for x, y in zip(s[f].tolist(), e[f].tolist(), strict=True)], letters[f])
+                k[miss] = self._find(h[miss])
+            n = self.size[k]
+            before = np.concatenate([[0], np.cumsum(n)])
+            flat = self.flat[np.repeat(self.start[k] - before[:-1], n) + np.arange(before[-1])]
+            at = before[np.searchsorted(s, off)]
+            rows = [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            for i in whole.tolist():
+                rows[i] = np.array(self.tok.encode(buf[off[i] : off[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            out += rows
         return out
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
+_tokenizers: dict[str, UnitTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str) -> UnitTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
+        _tokenizers[path] = UnitTokenizer(path)
     return _tokenizers[path]
 
 
@@ -222,7 +285,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         rows = _Rows(part << 30, keep_ids)
         end = np.array([end_id], np.uint32)
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1)), strict=True):
                 for seq in packer.add((doc, 0, len(ids) + 1, np.concatenate([ids, end]))):
                     rows.put(seq)
             yield from rows.take(2000)
