@@ -18,6 +18,7 @@ of both classes every score is the share of toxic rows (0 without labels). Ids m
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,8 @@ SYMBOLS = 32
 ORDER = 6
 DISCOUNT = 0.75
 TOP_WORDS = 3
+CHUNKS = 64
+_UNSEEN = 2**32 - 1
 _U = np.uint64
 
 _SYM = np.zeros(256, np.uint8)
@@ -59,6 +62,27 @@ def events(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slot, ((ctx & _U(0x7FFF)) << _U(5) | sym).astype(np.int64), sym
 
 
+def _pack(n: np.ndarray, low: np.ndarray):
+    """(chunk, bytes) of the slots with counts: distances, four symbols and both counts, column by column, deflated."""
+    width = CONTEXTS * SYMBOLS // CHUNKS
+    for c in range(CHUNKS):
+        at = slice(c * width, (c + 1) * width)
+        some = np.flatnonzero(low[at] != _UNSEEN)
+        if len(some):
+            own = (np.diff(some, prepend=0), low[at][some], n[0][at][some], n[1][at][some])
+            yield c, zlib.compress(b"".join(np.asarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in own), 1)
+
+
+def _unpack(c: int, x: bytes, n: np.ndarray, low: np.ndarray) -> None:
+    """Adds one task's counts of a chunk."""
+    raw = np.frombuffer(zlib.decompress(x), np.uint8)
+    step, four, n0, n1 = (np.ascontiguousarray(r.reshape(8, -1).T).view("<i8").ravel() for r in raw.reshape(4, -1))
+    at = np.cumsum(step) + c * (CONTEXTS * SYMBOLS // CHUNKS)
+    n[0][at] += n0
+    n[1][at] += n1
+    low[at] = np.minimum(low[at], four.astype(np.uint32))
+
+
 @dataclass
 class Model:
     ratio: np.ndarray  # float16, CONTEXTS * SYMBOLS log-likelihood ratios; empty without a model
@@ -128,25 +152,42 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     """docs and labels share an id; ids without a 0/1 label teach nothing."""
     tenth = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("long")), F.lit(10)) == 0
     src = labelled(docs, labels.where(~tenth), id_col, text_col, label_col)
-    schema = pa.schema([("slot", pa.int32()), ("low", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64())])
+    packed = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
     def count(batches):
-        n = np.zeros((2, CONTEXTS * SYMBOLS), np.int32)
-        low = np.full(CONTEXTS * SYMBOLS, 2**31 - 1, np.int32)
+        n = np.zeros((2, CONTEXTS * SYMBOLS), np.uint32)
+        low = np.full(CONTEXTS * SYMBOLS, _UNSEEN, np.uint32)
         rows = [0, 0]
         for b in batches:
             for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 slot, four, _ = events(t)
                 np.add.at(n[y], slot, 1)
-                np.minimum.at(low, slot, four.astype(np.int32))
+                np.minimum.at(low, slot, four.astype(np.uint32))
                 rows[y] += 1
-        some = np.flatnonzero(low < 2**31 - 1)
-        yield tk.batch(schema, slot=[-1], low=[0], n0=[rows[0]], n1=[rows[1]])
+        chunks = [(-1, np.array(rows, np.int64).tobytes()), *_pack(n.astype(np.int64), low)]
+        yield tk.batch(packed, chunk=[c for c, _ in chunks], counts=[x for _, x in chunks])
+
+    schema = pa.schema([("slot", pa.int32()), ("low", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64())])
+
+    def add(batches):
+        n = np.zeros((2, CONTEXTS * SYMBOLS), np.int64)
+        low = np.full(CONTEXTS * SYMBOLS, _UNSEEN, np.uint32)
+        rows = np.zeros(2, np.int64)
+        for b in batches:
+            for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if c < 0:
+                    rows += np.frombuffer(x, np.int64)
+                else:
+                    _unpack(c, x, n, low)
+        some = np.flatnonzero(low != _UNSEEN)
+        yield tk.batch(schema, slot=[-1], low=[0], n0=rows[:1], n1=rows[1:])
         for i in range(0, len(some), 1 << 16):
             k = some[i : i + (1 << 16)]
             yield tk.batch(schema, slot=k, low=low[k], n0=n[0][k], n1=n[1][k])
 
-    sums = arrow_pass(src, count, "slot int, low int, n0 long, n1 long").groupBy("slot").agg(F.min("low").alias("low"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    # each task sends its counts by chunk of slots, packed; a chunk's counts are added up as they arrive
+    parts = arrow_pass(src, count, "chunk int, counts binary").repartition(CHUNKS // 4, "chunk")
+    sums = arrow_pass(parts, add, "slot int, low int, n0 long, n1 long").toArrow()
     slot, low, n0, n1 = (np.asarray(sums.column(k)) for k in ("slot", "low", "n0", "n1"))
     head = slot < 0
     rows = np.array([n0[head].sum(), n1[head].sum()], float)
