@@ -40,7 +40,7 @@ def clean_text(c: Column, fix_hyphenation: bool = True, normalize_quotes: bool =
 
 
 def count_words(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, rf"(?U){BLANK}+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(c, F.lit(rf"(?U){NON_BLANK}+")).cast("long")
 
 
 def strip_placeholders(c: Column) -> Column:

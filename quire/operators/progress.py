@@ -41,3 +41,17 @@ def final(chunks: DataFrame) -> DataFrame:
     """(stream_id, text) of each stream, chunks in order; a stream of empty chunks has an empty text."""
     rows = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
     return chunks.groupBy("stream_id").agg(F.array_join(F.transform(rows, lambda r: r["chunk"]), "").alias("text"))
+
+
+def run_events(batched: DataFrame, optimize: bool = True) -> DataFrame:
+    """(book_id, seq, phase, current, total, percent): the events that a run over batched pages (see books.batches) reports,
+    a batch's when it starts. Phases other than recognition report their end."""
+    books = batched.groupBy("book_id").agg(F.max("total").alias("total"), F.max("batch_id").alias("last"))
+    done = lambda phase, seq: books.select("book_id", seq.alias("seq"), F.lit(phase).alias("phase"), F.col("total").alias("current"), "total", F.lit(100.0).alias("percent"))
+    out = books.select("book_id", F.lit(0).cast("long").alias("seq"), F.lit("rendering").alias("phase"), F.lit(0).cast("long").alias("current"), "total", F.lit(0.0).alias("percent"))
+    out = out.unionByName(done("rendering", F.lit(1).cast("long")))
+    each = batched.select("book_id", "batch_id", "batch_start", "total", "percent").distinct()
+    out = out.unionByName(each.select("book_id", (F.col("batch_id") + 2).alias("seq"), F.lit("ocr").alias("phase"), F.col("batch_start").alias("current"), "total", "percent"))
+    for i, phase in enumerate(("cleaning", "cropping", *(("optimizing",) if optimize else ()), "compiling", "done")):
+        out = out.unionByName(done(phase, F.col("last") + 3 + i))
+    return out

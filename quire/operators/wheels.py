@@ -33,3 +33,16 @@ def select(devices: DataFrame, wheels: DataFrame) -> DataFrame:
         .otherwise(F.struct(build.alias("build"), least.alias("least_driver")))
     )
     return rows.withColumn("c", chosen).select("device", "major", "minor", "driver_major", "c.*")
+
+
+def parse_devices(lines: DataFrame, col: str = "line") -> DataFrame:
+    """(name, driver, major, minor) of lines `name, driver, capability`; a part that is no number is null."""
+    part = F.transform(F.split(col, ","), lambda x: F.trim(x))
+    cap = F.split(F.get(part, F.lit(2)), r"\.")
+    number = lambda i: F.get(cap, F.lit(i)).try_cast("int")
+    return lines.select(F.get(part, F.lit(0)).alias("name"), F.get(part, F.lit(1)).alias("driver"), number(0).alias("major"), number(1).alias("minor"))
+
+
+def first_cached(files: DataFrame, pattern: str) -> DataFrame:
+    """(folder, name): the first file of each folder (folder, name) whose name is LIKE the pattern."""
+    return files.where(F.col("name").like(pattern)).groupBy("folder").agg(F.min("name").alias("name"))

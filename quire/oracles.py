@@ -199,6 +199,13 @@ j as (select d.*, b, l, row_number() over (partition by major, minor, driver_maj
 c as (select *, coalesce(b, 'cpu') as q from j where r = 1)
 select major || '/' || minor || '/' || driver_major as device, major, minor, driver_major, case when q = 'cu118' and driver_major < 11 then 'cpu' when q = 'cu124' and driver_major < 12 then 'cu118' when q = 'cu126' and driver_major < 12 then 'cu124' else q end as build,
   case when q = 'cu118' and driver_major < 11 then '0' when q = 'cu124' and driver_major < 12 then '11.8' when q = 'cu126' and driver_major < 12 then '12.4' else coalesce(l, '') end as least_driver from c""",
+    "parse_devices": "select distinct 'GPU ' || l_suppkey as name, '5' || l_partkey % 50 as driver, case when l_linenumber <> 1 then (l_partkey % 14)::int end as major, case when l_linenumber <> 1 then (l_suppkey % 10)::int end as minor from lineitem",
+    "first_cached": f"select book_id as folder, min(name) as name from ({IMAGES}) where name like 'page%.webp' group by book_id",
+    "run_events": f"""with {BATCHED}, b as (select book_id, max(total) as total, max(batch_id) as last from bs group by book_id),
+e as (select distinct book_id, batch_id, batch_start, total, batch_end from bs)
+select book_id, 0::bigint as seq, 'rendering' as phase, 0::bigint as current, total, 0.0::double as percent from b union all select book_id, 1, 'rendering', total, total, 100.0 from b
+union all select book_id, batch_id + 2, 'ocr', batch_start, total, batch_end * 100.0::double / total from e
+union all select book_id, last + 3 + i, p, total, total, 100.0 from b, (values (0, 'cleaning'), (1, 'cropping'), (2, 'optimizing'), (3, 'compiling'), (4, 'done')) v(i, p)""",
     "thumbnails_top3": f"select book_id, name, r as rank from (select book_id, name, row_number() over (partition by book_id order by name) as r from ({IMAGES})) where r <= 3",
     "image_semi_join": f"with i as ({IMAGES}) select book_id, name from i where (book_id, name) in (select (book_id, name) from i where doc_id % 2 = 0)",
     "shard_anti_join": f"with i as (select book_id as model, 'shard' || doc_id % 9 as shard, doc_id from ({PAGES})) select model, count(distinct shard) as n_shards, count(distinct case when doc_id % 9 >= 7 then shard end) as n_missing from i group by model",

@@ -302,6 +302,22 @@ def wheel_asof(spark, d):
     return wheels.select(dev, wheels.table(spark))
 
 
+@query
+def parse_devices(spark, d):
+    line = F.concat_ws(", ", F.concat(F.lit("GPU "), C("l_suppkey").cast("string")), F.concat(F.lit("5"), (C("l_partkey") % 50).cast("string")), F.when(C("l_linenumber") == 1, "n/a").otherwise(F.concat_ws(".", (C("l_partkey") % 14).cast("string"), (C("l_suppkey") % 10).cast("string"))))
+    return wheels.parse_devices(_read(spark, d, "lineitem").select(line.alias("line"))).distinct()
+
+
+@query
+def first_cached(spark, d):
+    return wheels.first_cached(_images(spark, d).select(C("book_id").alias("folder"), "name"), "page%.webp")
+
+
+@query
+def run_events(spark, d):
+    return progress.run_events(books.batches(fixtures.pages(spark, d)))
+
+
 @query
 def thumbnails_top3(spark, d):
     return books.top_by_name(_images(spark, d)).select("book_id", "name", C("rank").cast("long").alias("rank"))

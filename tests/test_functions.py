@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import chapters, formats, geometry, markup, text
+from quire.functions import chapters, formats, geometry, markup, register, text
+from quire.sources import config
 from tests import specs
 
 C = F.col
@@ -97,3 +98,21 @@ def test_formats(spark):
     html = one(spark, '<img src="a"/><img style="max-width:100%">', text.responsive_images(C("t")))
     assert html.count("max-width:100%") == 2
     assert one(spark, html, text.responsive_images(C("t"))) == html
+
+
+def test_sql_functions(spark):
+    assert "clean_text" in register.register(spark)
+    r = spark.sql(r"select clean_text('a-\n b “q”\n\n\n\nz') a, count_words(' a b  c') b, human_bytes(2048D) c, format_eta(61D) d, xml_escape('<&>') e, strip_placeholders('a<image>b') f").first()
+    assert tuple(r) == ('ab "q"\n\nz', 3, "2.0 KB", "1m 01s", "&lt;&amp;&gt;", "ab")
+
+
+def test_settings(tmp_path):
+    c = config.Recognition(pages_per_batch=99, quantization=config.Quantization.INT4, cache=tmp_path)
+    assert c.batch_size() == 30 and c.options()["quantization"] == "int4" and c.options()["cache"] == str(tmp_path)
+    assert not config.model_available(str(tmp_path / "none")) and not config.model_available(str(tmp_path))
+    (tmp_path / "config.json").write_text("{}")
+    (tmp_path / "m.index.json").write_text('{"weight_map": {"a": "s1", "b": "s2", "c": "s1"}}')
+    (tmp_path / "s1").write_text("")
+    assert not config.model_available(str(tmp_path))
+    (tmp_path / "s2").write_text("")
+    assert config.model_available(str(tmp_path))
