@@ -30,13 +30,19 @@ def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(fn, schema)
 
 
+def bloom_filters(spark: SparkSession) -> None:
+    """Lets Spark push a Bloom filter of a join's smaller side into the scan of the other. The filter has a bounded size
+    whatever that side's; beyond the threshold the join is a plain one."""
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(text, y) of the documents that a 0/1 label is known of.
 
     A Bloom filter of the labelled ids (Spark's own, of bounded size) is pushed into the scan of the documents, so that
     texts without a label are not shuffled; where the labels outgrow it, the join is a plain one."""
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    bloom_filters(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("k")).select("text", "y")
 

@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import Workspace, arrow_pass
+from quire.llm.common import Workspace, arrow_pass, bloom_filters
 
 SIZE = 400
 SPAN = 256
-BLOCK = 2 << 20
+BLOCK = 3 << 19
 _U = np.uint64
 
 
@@ -249,7 +249,7 @@ def _repeats(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_text = marks.join(shared, "anchor").groupBy("text_key").agg(F.min("row_key").alias("row_key"), F.collect_list(F.struct("anchor", "total")).alias("a"))
     by_text = ws.save(by_text.select("text_key", "row_key", F.col("a.anchor").alias("anchors"), F.col("a.total").alias("totals"), F.size("a").alias("n")))
     # a Bloom filter of the texts that go on keeps the others out of the shuffle
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    bloom_filters(spark)
     going = rows.withColumnRenamed("text_key", "tk").withColumnRenamed("row_key", "rk").join(by_text.where("n > 0"), (F.col("rk") == F.col("row_key")) & (F.col("tk") == F.col("text_key")))
     parts = ws.save(arrow_pass(going.select("text_key", "row_key", "text", "anchors", "totals"), _stretches, "text_key long, row_key long, first long, stretch binary, route long, anchors binary, totals binary"))
     ws.drop(marks, by_text)
