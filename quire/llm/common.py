@@ -64,7 +64,7 @@ class Workspace:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/../spark-checkpoints"
+            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/quire-work"
         self.path = f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
