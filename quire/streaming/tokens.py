@@ -13,7 +13,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 def folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below spark.checkpoint.dir, else beside the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/../spark-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quire-work"
     return f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
 
 
