@@ -4,7 +4,8 @@ Base spans come from the plain text. Then transducers rewrite the text (homoglyp
 digits, at/dot disguises); each output character keeps the source span it stands for. Identifiers found in the rewritten
 text are mapped back to source characters and added where no base span of their kind contains them.
 
-All positions are code points, ends exclusive. Every scan is linear in the text's length: an e-mail is looked for at each
+A disguised address has at most eight dots before its at and twelve after, so that
+its search is linear, too. All positions are code points, ends exclusive. Every scan is linear in the text's length: an e-mail is looked for at each
 @ only, and digit patterns start at the first digit of a run, where they match if they match anywhere in it.
 
 Defined results: null and empty texts have no spans; ids may be null or repeat, each row gives a row; extra columns are
@@ -34,19 +35,28 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-# Letters of other scripts that look like a Latin one, in the order of the alphabet.
-_LOOKALIKE = dict(zip("аАВсСеЕԁНһіІјЈКкМоОрРѕЅТуУхХαΑΒΕΗΙΚΜΝοΟΡΤΥΧΖ", "aABcCeEdHhiIjJKkMoOpPsSTyYxXaABEHIKMNoOPTYXZ", strict=True))
-_ODD = re.compile(r"[^\x00-\xac\xae-\xb1\xb4-\xb8\xba-\xff]")
-
-_NUMBER = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))}
-_SPELLED_RUN = re.compile(r"(?i)(?<![a-z])(?:plus[ -])?(?:(?:zero|one|two|three|four|five|six|seven|eight|nine|dot|point|[0-9]+)(?:[ .,-]|, )?){4,}(?![a-z])")
-_SPELLED = re.compile(r"(?i)(plus)[ -]|(?:[ ]?)(dot|point)(?:[ ]?)|(zero|one|two|three|four|five|six|seven|eight|nine)|(, |,)")
+# Letters of other scripts (and a full stop) that look like an ASCII character, Cyrillic, Greek, Armenian, Latin.
+_LOOKALIKE = dict(
+    zip(
+        "аАвВсСеЕԁԍһНіІјЈкКӏмМпоОрРԛгѕЅтТуУѵԝхХ" + "αΑΒΕΗΙιΚκΜΝνοΟΡρΤυΥΧΖ" + "օսոհց" + "ɑɡı" + "。",
+        "aAbBcCeEdGhHiIjJkKlmMnoOpPqrsStTyYvwxX" + "aABEHIiKkMNvoOPpTuYXZ" + "ounhg" + "agi" + ".",
+        strict=True,
+    )
+)
+_ODD = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\xb1\xb4-\xb8\xba-\xff]")
+
+_NUMBER = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))} | {"oh": "0"}
+_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|oh"
+_SPELLED_RUN = re.compile(rf"(?i)(?<![a-z])(?:plus[ -])?(?:(?:{_WORDS}|dot|point|[0-9]+)[ .,()-]{{0,3}}){{4,}}(?![a-z])")
+_SPELLED = re.compile(rf"(?i)(plus)[ -]|[ ]?(dot|point)[ ]?|({_WORDS})|(, |,)")
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_DISGUISED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,8}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,12}}")
 _PLAIN_DOTS = re.compile(rf"(?i){_DOT}")
 _PLAIN_AT = re.compile(rf"(?i){_AT}")
-_MARK = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
+_MARK = re.compile(rf"{_BRACKETED.pattern}|\sdot\s|\s@\s")
+_NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*(?=[0-9])")
 
 
 def _luhn(digits: str) -> bool:
@@ -117,8 +127,8 @@ def _plain(ch: str) -> str:
         return ""
     if kind in ("Nd", "No") and (d := unicodedata.digit(ch, None)) is not None:
         return str(d)
-    if kind == "Pd":
-        return "-"
+    if kind in ("Pd", "Zs"):
+        return "-" if kind == "Pd" else " "
     folded = unicodedata.normalize("NFKC", ch)
     return folded if len(folded) == 1 and folded.isascii() else ch
 
@@ -139,6 +149,7 @@ def fold_spelled(r: Rewritten) -> None:
 
 
 def fold_disguises(r: Rewritten) -> None:
+    r.replace([(*m.span(), ".") for m in _NUMBER_DOT.finditer(r.text)])
     edits = []
     for m in _DISGUISED.finditer(r.text):
         if not _MARK.search(m[0]):
@@ -158,8 +169,8 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
     if r:
         fold_homoglyphs(r)
     low = (r.text if r else text).lower()
-    numbers = sum(map(low.count, _NUMBER)) >= 4 and _SPELLED_RUN.search(low)
-    dots = "dot" in low or "@" in low and _MARK.search(low) or "[at]" in low or "(at)" in low
+    dots = "dot" in low or " @ " in low or _BRACKETED.search(low)
+    numbers = ("dot" in low or "point" in low or sum(map(low.count, _NUMBER)) >= 3) and _SPELLED_RUN.search(low)
     if not (r or numbers or dots):
         return base, base
     r = r or Rewritten(text)

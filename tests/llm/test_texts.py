@@ -47,6 +47,8 @@ def test_base_spans_at_random():
         ("mail john (at) mail [dot] example.com now", "email", "john (at) mail [dot] example.com"), ("john at mail dot example dot com", "email", "john at mail dot example dot com"),
         ("ｊohn＠mail.example.com", "email", "ｊohn＠mail.example.com"), ("jоhn@example.com", "email", "jоhn@example.com"), ("jo​hn​@ex.com", "email", "jo​hn​@ex.com"),
         ("call plus one eight eight six five five five nine six seven four", "phone", "plus one eight eight six five five five nine six seven four"), ("１０.0.0.１", "ip", "１０.0.0.１"),
+        ("at 10 dot 0 dot 0 dot 1 now", "ip", "10 dot 0 dot 0 dot 1"), ("10[.]20[.]30[.]40", "ip", "10[.]20[.]30[.]40"), ("john @ example.com", "email", "john @ example.com"), ("j<at>ex{dot}com", "email", "j<at>ex{dot}com"),
+        ("call +1 (886) five five five-9674 x", "phone", "+1 (886) five five five-9674"), ("4111\xa01111–1111 1111", "card", "4111\xa01111–1111 1111"),
         ("card four one one one one one one one one one one one one one one one.", "card", "four one one one one one one one one one one one one one one one"),
     ],
 )
@@ -61,7 +63,7 @@ def test_plain_text_has_no_disguise():
 
 
 def test_linear_on_long_runs():
-    for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "+1" * 100_000, "one " * 50_000, "a.b" * 60_000 + "@"):
+    for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "+1" * 100_000, "one " * 50_000, "a.b" * 60_000 + "@", "a dot " * 40_000, "a at " * 40_000 + "dot", "(dot)" * 40_000, "a@ " * 40_000 + " dot "):
         pii.find_spans(t)
 
 
