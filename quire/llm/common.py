@@ -34,7 +34,7 @@ def bloom_filters(spark: SparkSession) -> None:
     """Lets Spark push a Bloom filter of a join's smaller side into the scan of the other. The filter has a bounded size
     whatever that side's; beyond the threshold the join is a plain one."""
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "256m")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
 from quire.llm.common import Workspace, arrow_pass
-from quire.llm.vectors import matrix, read
+from quire.llm.vectors import component_bytes, matrix, read
 
 TREES = 24
 LENGTH = 14
@@ -70,7 +70,7 @@ def _hits(found) -> pa.RecordBatch:
 
 def _scan(points: DataFrame, queries: list[tuple[int, bytes]], width: int, k: int) -> DataFrame:
     """Local nearest of a bounded list of queries in every partition of points."""
-    qs = [(i, np.frombuffer(v, np.float64)) for i, v in queries]
+    qs = [(i, matrix([v], width)[0]) for i, v in queries]
 
     def run(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -128,7 +128,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         return empty
     if head.w != head.v:
         raise ValueError("vectors differ in width")
-    width, total = head.w // 8, head.n
+    width, total = head.w // component_bytes(table, vec_col), head.n
     # one point for equal vectors; no query needs more than the k + 1 smallest ids of a point
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     points = ws.save(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
@@ -171,8 +171,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     # the least `want` at which the sample's true neighbours are found
     truth = top(_scan(points, sample, width, k)).join(points.withColumnRenamed("vec", "near"), "vec_id").select("query_id", "near").collect()
     vec = dict(sample)
-    own = np.stack([np.frombuffer(vec[r.query_id], np.float64) for r in truth]) if truth else np.zeros((0, width))
-    near = np.stack([np.frombuffer(r.near, np.float64) for r in truth]) if truth else own
+    own = matrix([vec[r.query_id] for r in truth], width)
+    near = matrix([bytes(r.near) for r in truth], width)
     apart = strings(own, directions) ^ strings(near, directions)
     shared = (LENGTH - np.ceil(np.log2(apart + 1))).max(axis=1) if len(truth) else np.zeros(0)
     n_at = counts(own)

@@ -23,7 +23,7 @@ from quire.llm import textkit as tk
 from quire.llm.common import Workspace, arrow_pass
 from quire.llm.components import components
 from quire.llm.minhash import _forest
-from quire.llm.vectors import matrix, read
+from quire.llm.vectors import component_bytes, matrix, read
 
 TABLES = 32
 WIDTH = 2.0
@@ -63,7 +63,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         return every.select("vec_id", *alone)
     if head.w != head.v:
         raise ValueError("vectors differ in width")
-    width = head.w // 8
+    width = head.w // component_bytes(table, vec_col)
     points = ws.save(rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     k = projections(points.count())
     hashed = pa.schema([("rep", pa.int64()), ("weight", pa.int64()), ("vec", pa.binary()), ("b", pa.binary())])

@@ -10,6 +10,7 @@ import pytest
 from quire.llm import minhash, pstable
 from quire.llm.common import Workspace
 from quire.llm.components import components
+from quire.llm.vectors import component_bytes, read
 from tests.llm.conftest import DOCS, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,6 +137,13 @@ def test_vectors(spark):
     assert all(a[1] <= b[1] for a, b in zip(got, key(want), strict=True))
 
 
+def test_doubles_keep_their_width(spark):
+    rows = [(i, [1.0, 1.0 + i * 1e-12], 0, "", "") for i in range(4)]
+    df = spark.createDataFrame(rows, VECS.replace("float", "double"))
+    assert component_bytes(df, "embedding") == 8 and read(df, "vec_id", "embedding").select("vec").distinct().count() == 4
+    assert {r.n_links for r in pstable.near_duplicates(df).collect()} == {3}
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], VECS)
     assert pstable.near_duplicates(empty).count() == 0
