@@ -35,7 +35,7 @@ from quire.llm.common import Workspace, arrow_pass, bloom_filters
 
 SIZE = 400
 SPAN = 256
-BLOCK = 3 << 19
+BLOCK = 1 << 20
 _U = np.uint64
 
 
@@ -66,25 +66,35 @@ def anchors(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_runs(text: np.ndarray) -> np.ndarray:
     """Class of each suffix of text (symbols, 0 ends a stretch) by its first SIZE symbols: suffixes of one class agree in them."""
     n = len(text)
-    # suffix order to SIZE symbols, by doubling
-    pad = np.concatenate([text, np.zeros(8, text.dtype)]).astype(np.int64)
+    # suffix order to SIZE symbols: first by as many symbols as a word holds, then by two or three ranks at a time
+    have = np.bincount(text, minlength=2) > 0
+    have[0] = True
+    dense = (np.cumsum(have) - 1)[text]
+    bits = max(1, int(dense.max()).bit_length())
+    depth = 63 // bits
+    pad = np.concatenate([dense, np.zeros(depth, np.int64)])
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = key << 9 | pad[k : k + n]
-    depth = 7
+    for k in range(depth):
+        key = key << bits | pad[k : k + n]
+    width = n.bit_length()
     while True:
-        sa = np.argsort(key, kind="stable")
-        sorted_key = key[sa]
-        new = np.ones(n, np.int64)
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(new)
-        if depth >= SIZE or rank[sa[-1]] == n:
+        sa = np.argsort(key)
+        if depth >= SIZE:
             break
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(n - depth, 0)] = rank[depth:]
-        key = rank * (n + 1) + nxt
-        depth *= 2
+        key = key[sa]
+        new = np.ones(n, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        place = np.cumsum(new)
+        if place[-1] == n:
+            break
+        rank = np.zeros(n + 2 * depth, np.int64)
+        rank[sa] = place
+        key = rank[:n] << width | rank[depth : depth + n]
+        if 3 * width < 64:
+            key = key << width | rank[2 * depth : 2 * depth + n]
+            depth *= 3
+        else:
+            depth *= 2
     # transform: the symbol before each suffix, and where prepending it leads
     bwt = text[sa - 1]
     back = np.empty(n, np.int64)
