@@ -67,6 +67,13 @@ def responsive_images(c: Column) -> Column:
     return F.regexp_replace(c, r"<img(?![^>]*max-width:100%)([^>]*?)\s*/?>", f'<img $1 style="{IMAGE_STYLE}" />')
 
 
+def chapter_title(html: Column, title: Column) -> Column:
+    """The first heading of level 1 replaced by the chapter's own; without a title the text stays."""
+    literal = F.regexp_replace(xml_escape(title), r"([\\$])", r"\\$1")
+    new = F.concat(F.lit('$1<h1 class="chapter-title">'), literal, F.lit("</h1>"))
+    return F.when(F.coalesce(title, F.lit("")) == "", html).otherwise(F.regexp_replace(html, F.lit(r"(?s)\A(.*?)<h1[^>]*>.*?</h1>"), new))
+
+
 def page_separators(c: Column) -> Column:
     return F.greatest(F.regexp_count(c, F.lit("<page>")), F.lit(1)).cast("long")
 

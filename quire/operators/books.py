@@ -10,6 +10,7 @@ from quire.functions.chapters import PAGE_BREAK
 
 SEPARATOR = f"\n\n{PAGE_BREAK}\n\n"
 PAGE_TAG = "(?i)<page>"
+C_PAGES = "chapter_pages"
 
 
 def batch_size(pages_per_batch: int, most: int = 30) -> int:
@@ -133,3 +134,14 @@ def missing_shards(index: DataFrame, cached: DataFrame) -> DataFrame:
     need = index.select("model", "shard").distinct()
     lost = need.join(cached, ["model", "shard"], "left_anti").groupBy("model").agg(F.count("*").alias("n_missing"))
     return need.groupBy("model").agg(F.count("*").alias("n_shards")).join(lost, "model", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)).cast("long"))
+
+
+def with_metadata(found: DataFrame, given: DataFrame, chapter_pages: int | None = None) -> DataFrame:
+    """Books (book_id, stem) with what is given for them (book_id, title, author, language, chapter_pages); a book without a
+    title takes its stem, chapter_pages given here goes before a book's own."""
+    own = given.select("book_id", "title", "author", "language", C_PAGES)
+    blank = lambda c: F.when(F.trim(c) != "", F.col(c))
+    return found.join(own, "book_id", "left").select(
+        "book_id", F.coalesce(blank("title"), "stem").alias("title"), F.coalesce(blank("author"), F.lit("Unknown")).alias("author"),
+        F.coalesce(blank("language"), F.lit("it")).alias("language"), F.coalesce(F.lit(chapter_pages).cast("int"), C_PAGES).alias(C_PAGES),
+    )

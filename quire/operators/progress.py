@@ -11,6 +11,12 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(F.max_by(F.struct("phase", "message", "percent"), F.struct("ts", "seq")).alias("e"), F.count("*").alias("n_events")).select("job_id", "e.*", "n_events")
 
 
+def carried(log: DataFrame, fields: list[str]) -> DataFrame:
+    """Each job's last known value of each field; events that do not know it leave it as it was."""
+    known = [F.max_by(f, F.when(F.col(f).isNotNull(), F.struct("ts", "seq"))).alias(f) for f in fields]
+    return log.groupBy("job_id").agg(*known)
+
+
 def phase_coverage(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_set("phase")), ",").alias("phases"))
 

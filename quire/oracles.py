@@ -206,6 +206,10 @@ e as (select distinct book_id, batch_id, batch_start, total, batch_end from bs)
 select book_id, 0::bigint as seq, 'rendering' as phase, 0::bigint as current, total, 0.0::double as percent from b union all select book_id, 1, 'rendering', total, total, 100.0 from b
 union all select book_id, batch_id + 2, 'ocr', batch_start, total, batch_end * 100.0::double / total from e
 union all select book_id, last + 3 + i, p, total, total, 100.0 from b, (values (0, 'cleaning'), (1, 'cropping'), (2, 'optimizing'), (3, 'compiling'), (4, 'done')) v(i, p)""",
+    "book_metadata": f"""with pg as ({PAGES}), g as (select book_id, case when doc_id % 3 = 2 then 'Title ' || doc_id end as title, (doc_id % 9)::int as chapter_pages from pg where page_num = 1 and doc_id % 3 > 0)
+select b.book_id, coalesce(title, 'file ' || b.book_id) as title, case when g.book_id is null then 'Unknown' else 'A. Author' end as author, 'it' as language, chapter_pages from (select distinct book_id from pg) b left join g using (book_id)""",
+    "carried_state": f"select job_id, max_by(percent, struct_pack(ts := ts, seq := seq)) filter (phase = 'view') as shown, max_by(seq, struct_pack(ts := ts, seq := seq)) filter (phase = 'purchase') as bought from ({LOG}) group by job_id",
+    "chapter_title": "select page_id, case when page_id % 4 = 0 then html else regexp_replace(html, '(?s)<h1[^>]*>.*?</h1>', '<h1 class=\"chapter-title\">Page $1 &amp; ' || page_id || '</h1>') end as html from pages",
     "thumbnails_top3": f"select book_id, name, r as rank from (select book_id, name, row_number() over (partition by book_id order by name) as r from ({IMAGES})) where r <= 3",
     "image_semi_join": f"with i as ({IMAGES}) select book_id, name from i where (book_id, name) in (select (book_id, name) from i where doc_id % 2 = 0)",
     "shard_anti_join": f"with i as (select book_id as model, 'shard' || doc_id % 9 as shard, doc_id from ({PAGES})) select model, count(distinct shard) as n_shards, count(distinct case when doc_id % 9 >= 7 then shard end) as n_missing from i group by model",

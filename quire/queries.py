@@ -318,6 +318,25 @@ def run_events(spark, d):
     return progress.run_events(books.batches(fixtures.pages(spark, d)))
 
 
+@query
+def book_metadata(spark, d):
+    found = fixtures.pages(spark, d).select("book_id").distinct().select("book_id", F.concat(F.lit("file "), "book_id").alias("stem"))
+    given = fixtures.pages(spark, d).where("page_num = 1 and doc_id % 3 > 0").select("book_id", F.when(C("doc_id") % 3 == 1, " ").otherwise(F.concat(F.lit("Title "), C("doc_id").cast("string"))).alias("title"), F.lit("A. Author").alias("author"), F.lit("").alias("language"), (C("doc_id") % 9).cast("int").alias("chapter_pages"))
+    return books.with_metadata(found, given)
+
+
+@query
+def carried_state(spark, d):
+    log = fixtures.log(spark, d).withColumn("shown", F.when(C("phase") == "view", C("percent"))).withColumn("bought", F.when(C("phase") == "purchase", C("seq")))
+    return progress.carried(log, ["shown", "bought"])
+
+
+@query
+def chapter_title(spark, d):
+    title = F.when(C("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("Page $1 & "), C("page_id").cast("string")))
+    return _read(spark, d, "pages").select("page_id", text.chapter_title(C("html"), title).alias("html"))
+
+
 @query
 def thumbnails_top3(spark, d):
     return books.top_by_name(_images(spark, d)).select("book_id", "name", C("rank").cast("long").alias("rank"))
