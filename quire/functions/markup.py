@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions import geometry
+from quire.functions.bind import let
 from quire.functions.text import strip
 
 # Fixed patterns of the markup.
@@ -66,21 +67,27 @@ def assets(c: Column, page_num: Column, w: Column, h: Column, ext: str = ".webp"
 
 def rewrite_tags(c: Column, page_num: Column, w: Column, h: Column, ext: str = ".webp") -> Column:
     """Each det tag becomes Markdown: an image for assets large enough, a heading mark for headings, else a paragraph end."""
-    found = F.regexp_extract_all(c, F.lit(DET), F.lit(0))
-    parsed = F.transform(found, parse_det)
-    parts = F.split(c, DET, -1)
+    found = F.transform(F.regexp_extract_all(c, F.lit(DET), F.lit(0)), parse_det)
 
-    def one(t: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(parsed, F.lit(1), i), lambda x: x["label"].isin(*ASSETS)))
+    def step(acc: Column, x: Column) -> Column:
+        """The text so far and the number of assets in it, by one tag and the text after it."""
+        t = x["tag"]
+        asset = t["label"].isin(*ASSETS)
         box = geometry.denormalize(t["x1"], t["y1"], t["x2"], t["y2"], w, h)
         percent = F.format_string("%.1f", geometry.width_percent(t["x1"], t["x2"]))
         image = F.concat(
-            F.lit('\n\n<img src="images/'), asset_name(page_num, t["label"], number, ext), F.lit('" style="width:'), percent,
+            F.lit('\n\n<img src="images/'), asset_name(page_num, t["label"], acc["n"], ext), F.lit('" style="width:'), percent,
             F.lit('%;max-width:100%;height:auto;display:block;margin:1em auto;" />\n\n'),
-        )
-        new = F.when(t["label"].isin(*ASSETS) & geometry.large_enough(box), image)
+        )
+        new = F.when(asset & geometry.large_enough(box), image)
         for label, mark in PREFIXES.items():
             new = new.when(t["label"] == label, F.lit(mark))
-        return F.concat(new.otherwise(F.lit("\n\n")), F.get(parts, i + 1))
+        return F.struct(F.concat(acc["text"], new.otherwise(F.lit("\n\n")), x["after"]).alias("text"), (acc["n"] + asset.cast("int")).alias("n"))
+
+    def fold(both: Column) -> Column:
+        tail = F.slice(both["parts"], F.lit(2), F.size(both["found"]))
+        pairs = F.zip_with(both["found"], tail, lambda t, p: F.struct(t.alias("tag"), p.alias("after")))
+        start = F.struct(F.get(both["parts"], F.lit(0)).alias("text"), F.lit(0).alias("n"))
+        return F.aggregate(pairs, start, step, lambda acc: acc["text"])
 
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(parsed, one), ""))
+    return let(F.struct(found.alias("found"), F.split(c, DET, -1).alias("parts")), fold)
