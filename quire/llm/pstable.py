@@ -1,9 +1,10 @@
 """Embedding near-duplicates by Euclidean p-stable hashing.
 
-Vectors are normalised; two unit vectors of cosine c lie sqrt(2 - 2c) apart. Each of TABLES tables hashes a vector by some
+Vectors are normalised; two unit vectors of cosine c lie sqrt(2 - 2c) apart. Each of some tables hashes a vector by some
 projections on normal directions, shifted and cut into steps of WIDTH; all of a table's numbers together name a bucket.
 Vectors that share a bucket in any table are candidates, and their cosine is checked in double precision. The projections
-of a table grow with the logarithm of the number of vectors, so that a bucket of unrelated vectors stays small.
+of a table grow with the logarithm of the number of vectors, so that a bucket of unrelated vectors stays small; the tables
+grow with them, so that a pair at the threshold is missed with a chance of at most MISS whatever the number of vectors.
 
 A pair is counted in the first table that it shares a bucket in only, so counts of links add up over tables and no pair is
 written: a bucket gives each of its vectors a count, and the links of a spanning forest for the components. Equal vectors
@@ -25,7 +26,8 @@ from quire.llm.components import components
 from quire.llm.minhash import _forest
 from quire.llm.vectors import component_bytes, matrix, read
 
-TABLES = 32
+TABLES = 32  # at least
+MISS = 1e-3
 WIDTH = 2.0
 BLOCK = 1024
 _U = np.uint64
@@ -36,13 +38,22 @@ def projections(n: int) -> int:
     return max(6, round(math.log(max(n, 2) / 64) / 0.72)) if n > 64 else 6
 
 
-def buckets(unit: np.ndarray, k: int) -> np.ndarray:
-    """The bucket of each unit vector in each table, as a 32-bit number."""
+def tables(k: int, cosine: float) -> int:
+    """So many tables of k projections that two vectors of this cosine share a bucket in none with a chance of MISS at most."""
+    far = math.sqrt(max(2 - 2 * cosine, 1e-12))
+    r = WIDTH / far
+    one = math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))  # chance to share a step
+    every = one**k
+    return TABLES if every >= 1 - MISS else max(TABLES, math.ceil(math.log(MISS) / math.log1p(-every)))
+
+
+def buckets(unit: np.ndarray, k: int, count: int) -> np.ndarray:
+    """The bucket of each unit vector in each of `count` tables, as a 32-bit number."""
     rng = np.random.Generator(np.random.PCG64(43))
-    a = rng.standard_normal((unit.shape[1], TABLES * k))
-    step = np.floor((unit @ a + rng.random(TABLES * k) * WIDTH) / WIDTH).astype(np.int64)
-    step = step.view(_U).reshape(len(unit), TABLES, k)
-    h = np.zeros((len(unit), TABLES), _U)
+    a = rng.standard_normal((unit.shape[1], count * k))
+    step = np.floor((unit @ a + rng.random(count * k) * WIDTH) / WIDTH).astype(np.int64)
+    step = step.view(_U).reshape(len(unit), count, k)
+    h = np.zeros((len(unit), count), _U)
     for j in range(k):
         h = tk.mix(h + step[:, :, j] * _U(0x9E3779B97F4A7C15) + _U(j + 1))
     return (h >> _U(32)).astype(np.uint32)
@@ -66,13 +77,14 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     width = head.w // component_bytes(table, vec_col)
     points = ws.save(rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     k = projections(points.count())
+    count = tables(k, threshold)
     hashed = pa.schema([("rep", pa.int64()), ("weight", pa.int64()), ("vec", pa.binary()), ("b", pa.binary())])
 
     def sign(batches):
         for b in batches:
             x = matrix(b.column(2), width)
             if len(x):
-                h = buckets(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), k)
+                h = buckets(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), k, count)
                 yield tk.batch(hashed, rep=b.column(0), weight=b.column(1), vec=b.column(2), b=[r.tobytes() for r in h.astype("<u4")])
 
     signed = ws.save(arrow_pass(points.select("rep", "weight", "vec"), sign, "rep long, weight long, vec binary, b binary"))
@@ -80,9 +92,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
 
     def post(batches):
         for b in batches:
-            h = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, TABLES)
-            t = np.tile(np.arange(TABLES, dtype=np.int32), len(h))
-            yield tk.batch(each, rep=np.repeat(np.asarray(b.column(0)), TABLES), t=t, bucket=h.ravel().astype(np.int64))
+            h = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, count)
+            t = np.tile(np.arange(count, dtype=np.int32), len(h))
+            yield tk.batch(each, rep=np.repeat(np.asarray(b.column(0)), count), t=t, bucket=h.ravel().astype(np.int64))
 
     posts = arrow_pass(signed.select("rep", "b"), post, "rep long, t int, bucket long")
     sizes = posts.groupBy("t", "bucket").count().where("count > 1")
@@ -95,7 +107,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         rep, weight, block = (np.asarray(t.column(c)) for c in ("rep", "weight", "block"))
         v = matrix(t.column("vec"), width)
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-        h = np.frombuffer(b"".join(t.column("b").to_pylist()), "<u4").reshape(-1, TABLES)
+        h = np.frombuffer(b"".join(t.column("b").to_pylist()), "<u4").reshape(-1, count)
         table_no, x, y = key[0].as_py(), key[2].as_py(), key[3].as_py()
         link = v @ v.T >= threshold - 1e-9
         link &= (block[:, None] != block[None, :]) if x != y else ~np.eye(len(v), dtype=bool)

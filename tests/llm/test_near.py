@@ -137,6 +137,20 @@ def test_vectors(spark):
     assert all(a[1] <= b[1] for a, b in zip(got, key(want), strict=True))
 
 
+def test_recall_holds_on_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(pstable, "projections", lambda n: 15)  # as for some three million vectors
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((2, 400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.9005 * a + np.sqrt(1 - 0.9005**2) * b
+    rows = [(2 * i + s, v.tolist(), 0, "", "") for i in range(400) for s, v in enumerate((a[i], near[i]))]
+    got = pstable.near_duplicates(spark.createDataFrame(rows, VECS.replace("float", "double"))).collect()
+    assert sum(r.n_links == 1 for r in got) >= 0.99 * len(rows)
+    assert all(r.component_id == r.vec_id // 2 * 2 for r in got if r.n_links)
+
+
 def test_doubles_keep_their_width(spark):
     rows = [(i, [1.0, 1.0 + i * 1e-12], 0, "", "") for i in range(4)]
     df = spark.createDataFrame(rows, VECS.replace("float", "double"))
