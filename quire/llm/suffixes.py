@@ -261,7 +261,9 @@ def _repeats(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a Bloom filter of the texts that go on keeps the others out of the shuffle
     bloom_filters(spark)
     going = rows.withColumnRenamed("text_key", "tk").withColumnRenamed("row_key", "rk").join(by_text.where("n > 0"), (F.col("rk") == F.col("row_key")) & (F.col("tk") == F.col("text_key")))
-    parts = ws.save(arrow_pass(going.select("text_key", "row_key", "text", "anchors", "totals"), _stretches, "text_key long, row_key long, first long, stretch binary, route long, anchors binary, totals binary"))
+    parts = arrow_pass(going.select("text_key", "row_key", "text", "anchors", "totals"), _stretches, "text_key long, row_key long, first long, stretch binary, route long, anchors binary, totals binary")
+    # totals count a text once, and rows that repeat a text's least key all join: each stretch goes on once, too
+    parts = ws.save(parts.dropDuplicates(["text_key", "first"]))
     ws.drop(marks, by_text)
     size = parts.agg(F.sum(F.length("stretch"))).first()[0] or 0
     dealt = parts.repartitionByRange(max(1, size // (2 * BLOCK) + 1), "route", "text_key", "first").sortWithinPartitions("route", "text_key", "first")

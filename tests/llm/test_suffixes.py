@@ -47,6 +47,19 @@ def test_shared_passages(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_repeated_rows_tell_other_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", 1 << 9)
+    rng = random.Random(12)
+    rows = []
+    for i in range(20):
+        shared = prose(rng, 110)[:500]
+        copy = prose(rng, 30) + shared + prose(rng, 30)
+        rows += [(i if i % 2 else None, copy)] * 8 + [(100 + i, prose(rng, 40) + shared + prose(rng, 20))]
+    df = spark.createDataFrame([(i, t) + (None,) * 8 for i, t in rows], DOCS)
+    got = sorted((tuple(r) for r in suffixes.removals(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_drop_repeats(spark, odd, odd_rows, nothing):
     out = suffixes.drop_repeats(odd)
     assert out.columns == odd.columns and out.count() == len(odd_rows)
