@@ -4,9 +4,9 @@ Base spans come from the plain text. Then transducers rewrite the text (homoglyp
 digits, at/dot disguises); each output character keeps the source span it stands for. Identifiers found in the rewritten
 text are mapped back to source characters and added where no base span of their kind contains them.
 
-A disguised address has at most eight dots before its at and twelve after, so that
-its search is linear, too. All positions are code points, ends exclusive. Every scan is linear in the text's length: an e-mail is looked for at each
-@ only, and digit patterns start at the first digit of a run, where they match if they match anywhere in it.
+All positions are code points, ends exclusive. Every scan is linear in the text's length: an e-mail is looked for at each
+@ only, a disguised one to both sides of each at, and digit patterns start at the first digit of a run, where they match if
+they match anywhere in it.
 
 Defined results: null and empty texts have no spans; ids may be null or repeat, each row gives a row; extra columns are
 not read by find() and kept by redact().
@@ -49,11 +49,14 @@ _NUMBER = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "four
 _WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|oh"
 _SPELLED_RUN = re.compile(rf"(?i)(?<![a-z])(?:plus[ -])?(?:(?:{_WORDS}|dot|point|[0-9]+)[ .,()-]{{0,3}}){{4,}}(?![a-z])")
 _SPELLED = re.compile(rf"(?i)(plus)[ -]|[ ]?(dot|point)[ ]?|({_WORDS})|(, |,)")
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,8}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,12}}")
+_TOD = r"(?:\s*[\])}>]\s*(?:tod|\.)\s*[\[({<]\s*|\s+tod\s+|\.)"  # of the reversed text
+_AT_MARK = re.compile(r"(?i)[\[({<]\s*(?:at|@)\s*[\])}>]|(?<=\s)at(?=\s)|@")
+_AFTER_AT = re.compile(rf"(?i)\s*([A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+)")
+_GAP = re.compile(r"\s*")
+_LOCAL_LABEL = re.compile(r"[A-Za-z0-9_%+-]++")
+_BACK_DOT = re.compile(rf"(?i){_TOD}(?=[A-Za-z0-9_%+-])")
 _PLAIN_DOTS = re.compile(rf"(?i){_DOT}")
-_PLAIN_AT = re.compile(rf"(?i){_AT}")
 _BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
 _MARK = re.compile(rf"{_BRACKETED.pattern}|\sdot\s|\s@\s")
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*(?=[0-9])")
@@ -148,15 +151,39 @@ def fold_spelled(r: Rewritten) -> None:
     r.replace(edits)
 
 
+def _disguised(text: str):
+    """(start, end, start and end of its at) of each address, with or without disguises, in order and without overlaps."""
+    back, n, done = text[::-1], len(text), 0
+    for mark in _AT_MARK.finditer(text):
+        if mark.start() < done:
+            continue
+        domain = _AFTER_AT.match(text, mark.end())
+        if not domain:
+            continue
+        # labels and dots before the at, read backwards; the farthest label that nothing of an address precedes is the first
+        stop, start = n - done, None
+        at = gap = _GAP.match(back, n - mark.start(), stop).end()
+        while label := _LOCAL_LABEL.match(back, at, stop):
+            at = label.end()
+            if at == n or back[at] != "." and not _LOCAL.match(back, at):
+                start = n - at
+            dot = _BACK_DOT.match(back, at, stop)
+            if not dot:
+                break
+            at = dot.end()
+        if start is not None:
+            done = domain.end()
+            yield start, done, n - gap, domain.start(1)
+
+
 def fold_disguises(r: Rewritten) -> None:
     r.replace([(*m.span(), ".") for m in _NUMBER_DOT.finditer(r.text)])
     edits = []
-    for m in _DISGUISED.finditer(r.text):
-        if not _MARK.search(m[0]):
+    for start, end, a, b in _disguised(r.text):
+        if not _MARK.search(r.text, start, end):
             continue
-        at = next(x for x in _PLAIN_AT.finditer(r.text, *m.span()))
-        parts = [(*x.span(), ".") for x in _PLAIN_DOTS.finditer(r.text, *m.span()) if x.end() <= at.start() or x.start() >= at.end()]
-        edits += sorted([*parts, (*at.span(), "@")])
+        before, after = ([(*x.span(), ".") for x in _PLAIN_DOTS.finditer(r.text, *part)] for part in ((start, a), (b, end)))
+        edits += [*before, (a, b, "@"), *after]
     r.replace([e for e in edits if r.text[e[0] : e[1]] != e[2]])
 
 
@@ -169,8 +196,9 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
     if r:
         fold_homoglyphs(r)
     low = (r.text if r else text).lower()
-    dots = "dot" in low or " @ " in low or _BRACKETED.search(low)
-    numbers = ("dot" in low or "point" in low or sum(map(low.count, _NUMBER)) >= 3) and _SPELLED_RUN.search(low)
+    # what a disguise needs; neither search leaves out a text that the transducers would change
+    dots = "dot" in low or ("@" in low and _MARK.search(low)) or _BRACKETED.search(low)
+    numbers = ("dot" in low or "point" in low or any(w in low for w in _NUMBER)) and _SPELLED_RUN.search(low)
     if not (r or numbers or dots):
         return base, base
     r = r or Rewritten(text)

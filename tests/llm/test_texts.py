@@ -57,6 +57,18 @@ def test_disguises(text, kind, found):
     assert (kind, found) in spans
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("call +1 555 one two 34567", "phone", "+1 555 one two 34567"), ("card 4111 1111 1111 111one x", "card", "4111 1111 1111 111one"), ("host 10.20.30.four up", "ip", "10.20.30.four"),
+        ("mail " + "a dot " * 11 + "b at c dot de now", "email", "a dot " * 11 + "b at c dot de"), ("mail ab (at) c" + " dot c" * 20 + " now", "email", "ab (at) c" + " dot c" * 20),
+        ("mail john\t@\texample.com", "email", "john\t@\texample.com"),
+    ],
+)
+def test_disguises_of_any_length(text, kind, found):
+    assert (kind, found) in [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find_spans(text)[1]]
+
+
 def test_plain_text_has_no_disguise():
     for t in ("we met at noon. the dot is red", "one two three", "look at 3.14.15 and 12 - 13", "a@b", "polka dot at home"):
         assert pii.find_spans(t) == ([], [])
