@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; documents may be long, so batches stay small and worker memory bounded.
+#: Rows and bytes of one Arrow batch; documents may be long, so batches stay small and worker memory bounded.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,12 @@ def crc_mod(col: str, m: int):
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in small batches. The setting is read when the plan is made, so it is set here."""
+    """mapInArrow in batches that are bounded by rows and bytes. The session's settings are read when the plan is made, so
+    they are lowered here and stay so."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
@@ -38,32 +41,34 @@ def bloom_filters(spark: SparkSession) -> None:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, y) of the documents that a 0/1 label is known of.
+    """(id, text, y) of the documents that a 0/1 label is known of.
 
     A Bloom filter of the labelled ids (Spark's own, of bounded size) is pushed into the scan of the documents, so that
     texts without a label are not shuffled; where the labels outgrow it, the join is a plain one."""
     bloom_filters(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("k")).select("text", "y")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("k")).select("id", "text", "y")
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(text, y) of at most `rows` labelled ids, those with the smallest hash; only those ids are broadcast, so the texts
-    are read without a shuffle."""
+    """(id, text, y) of at most `rows` labelled ids, those with the smallest hash; only those ids are broadcast, so the texts
+    are read without a shuffle. Documents that repeat an id all count."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
     few = known.orderBy(F.xxhash64("k"), "k", "y").limit(rows)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.join(F.broadcast(few), F.col("id") == F.col("k")).orderBy("id", F.xxhash64("text")).limit(rows).select("text", "y")
+    return src.join(F.broadcast(few), F.col("id") == F.col("k")).select("id", "text", "y")
 
 
 class Workspace:
-    """Written tables that cut lineage. They lie below spark.checkpoint.dir, which every executor reaches; where it
-    is unset, as in tests, a folder of the session's warehouse takes its place."""
+    """Written tables that cut lineage. They lie below spark.checkpoint.dir, which every executor reaches. Where it is unset,
+    a local session, as in tests, uses a folder of its warehouse; on a cluster that would not be shared, so it is an error."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = f"{spark.conf.get('spark.sql.warehouse.dir')}/quire-work"
         self.path = f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
         self.count = 0
