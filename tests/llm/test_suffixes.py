@@ -60,6 +60,22 @@ def test_repeated_rows_tell_other_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_pieces_and_sizes(spark, monkeypatch):
+    """Long stretches are cut into pieces; strings across a cut, and periodic texts, still meet those of other blocks."""
+    monkeypatch.setattr(suffixes, "PIECE", 100)
+    monkeypatch.setattr(suffixes, "BLOCK", 1 << 10)
+    rng = random.Random(13)
+    rows = []
+    for i in range(12):
+        shared = prose(rng, rng.choice([60, 150, 400]))
+        rows += [(10 * i + k, prose(rng, 20) + shared[rng.randint(0, 20) :] + prose(rng, 20)) for k in range(rng.randint(2, 5))]
+    rows += [(500, "ab" * 900 + "c"), (501, "x" + "ab" * 700), (502, "den " * 60 + "q"), (503, prose(rng, 10) + "den " * 150)]
+    df = spark.createDataFrame([(i, t) + (None,) * 8 for i, t in rows], DOCS)
+    for size in (200, 400):
+        got = sorted((tuple(r) for r in suffixes.removals(df, size=size).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+        assert got == brute(rows, size)
+
+
 def test_drop_repeats(spark, odd, odd_rows, nothing):
     out = suffixes.drop_repeats(odd)
     assert out.columns == odd.columns and out.count() == len(odd_rows)
@@ -68,8 +84,7 @@ def test_drop_repeats(spark, odd, odd_rows, nothing):
     assert suffixes.drop_repeats(nothing).count() == 0 and suffixes.removals(nothing).count() == 0
 
 
-def test_interval_expansion(monkeypatch):
-    monkeypatch.setattr(suffixes, "SIZE", 12)
+def test_interval_expansion():
     rng = np.random.default_rng(0)
     for trial in range(10):
         t = rng.integers(1, 4, 2000).astype(np.int16)
@@ -80,7 +95,7 @@ def test_interval_expansion(monkeypatch):
             t[500:900] = np.tile([1, 2, 3], 400)[:400]
         t[rng.integers(0, 2000, 20)] = 0
         t[-1] = 0
-        cls = suffixes.repeated_runs(t)
+        cls = suffixes.repeated_runs(t, 12)
         groups = {}
         for i in range(1980):
             if (t[i : i + 12] > 0).all():
