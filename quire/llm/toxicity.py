@@ -1,19 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models over the characters of a text (26 letters and a few classes; runs of other marks are one blank) predict each
-symbol from the five before it. Both discount their own counts absolutely and give the freed mass to one shared backoff
-distribution: continuation counts, i.e. in how many different contexts of either class a symbol followed the last three,
-smoothed in the same way by the last one and a uniform floor. So an expression that a class has hardly seen falls back to
-what both classes share, and says little. Where neither class has seen a symbol in its context, the backoff cancels from
+symbol from the four before it. Both discount their own counts and give the freed mass to one shared backoff distribution:
+continuation counts, i.e. in how many different contexts of either class a symbol followed the last three, smoothed in the
+same way by the last two, the last one, none and a uniform floor. So an expression that a class has hardly seen falls back
+to what both classes share, and says little. Where neither class has seen a symbol in its context, the backoff cancels from
 the ratio and only the two backoff weights are left.
 
-A text's evidence is its log-likelihood ratio by symbol over the whole text, and the same, word by word, at its strongest
-words; a logistic curve makes a probability of both. Counts come from every labelled row but the tenth that calibrates the
-curve; tasks sum them before the shuffle. Contexts are hashed to CONTEXTS slots, so a model is one table of fixed size,
-2 bytes for each of 32 * CONTEXTS slots. At most `sample_rows` rows calibrate (a documented bound).
+Counts are exact: each context and symbol is a number of 25 bits, nothing shares a slot. What is gathered grows with the
+labelled texts, up to the 2**25 events there are; so a model is a table of 64 MB at most, which is broadcast.
+
+A text's evidence is its log-likelihood ratio by symbol over the whole text, and the same word by word: what distinct words
+have beyond BAR, and the strongest of them. A logistic curve makes a probability of these and of the number of words. The
+curve is fitted on evidence that each half of the labelled rows gets from models of the other half; the final models count
+both halves. In the curve a toxic row weighs COST clean ones, as toxic rows are rare and missing one is worse. At most
+`sample_rows` rows fit the curve (a documented bound); tasks make the evidence, the driver gets numbers only.
 
 Defined results: null counts as an empty text; empty texts get the calibrated score of no evidence; without labelled rows
-of both classes every score is the share of toxic rows (0 without labels). Ids may be null or repeat.
+of both classes in both halves every score is the share of toxic rows (0 without labels). Ids may be null or repeat, each
+row gives a row; repeated rows all count; extra columns are not read by score() and kept by keep_clean().
 """
 
 from __future__ import annotations
@@ -23,21 +28,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
 from quire.llm.common import arrow_pass, label_sample, labelled
 
-BITS = 17
-CONTEXTS = 1 << BITS
+ORDER = 5
+EVENTS = 1 << 5 * ORDER
 SYMBOLS = 32
-ORDER = 6
-DISCOUNT = 0.75
+DISCOUNT = 2.5  # of a class's own counts; an event seen twice says nothing yet
+BACKOFF = 0.75  # of continuation counts
+BAR = 2.0
 TOP_WORDS = 3
+COST = 4.0
 CHUNKS = 64
-_UNSEEN = 2**32 - 1
-_U = np.uint64
+#: Symbols that a task counts before it adds them up.
+_BUFFER = 1 << 22
+_FEATURES = 4
 
 _SYM = np.zeros(256, np.uint8)
 _SYM[97:123] = np.arange(1, 27)
@@ -47,163 +55,235 @@ _SYM[0xC0:] = 31
 _SYM[0x80:0xC0] = 1 + np.arange(64) % 30
 
 
-def events(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: the slot of each (context, symbol), its last four symbols as a number, and the symbols."""
-    s = _SYM[np.frombuffer(text or b"", np.uint8)]
-    if len(s):
-        s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
-    s = np.concatenate([np.zeros(ORDER - 1, np.uint8), s, np.zeros(1, np.uint8)]).astype(_U)
-    n = len(s) - ORDER + 1
-    ctx = s[:n]
-    for k in range(1, ORDER - 1):
-        ctx = ctx << _U(5) | s[k : k + n]
-    sym = s[ORDER - 1 :]
-    slot = ((tk.mix(ctx + _U(1)) >> _U(64 - BITS)) << _U(5) | sym).astype(np.int64)
-    return slot, ((ctx & _U(0x7FFF)) << _U(5) | sym).astype(np.int64), sym
-
-
-def _pack(n: np.ndarray, low: np.ndarray):
-    """(chunk, bytes) of the slots with counts: distances, four symbols and both counts, column by column, deflated."""
-    width = CONTEXTS * SYMBOLS // CHUNKS
+def events(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive texts: the number of each event (context and symbol, five bits each), and where each text's begin
+    (len(off) places). Every text begins after blanks and ends with one."""
+    rows = len(off) - 1
+    s = _SYM[buf]
+    first = np.zeros(len(s) + 1, bool)
+    first[off] = True
+    before = np.concatenate([np.zeros(1, np.uint8), s])[: len(s)]
+    before[first[: len(s)]] = 0
+    keep = np.flatnonzero((s > 0) | (before > 0))  # one blank after each word
+    size = np.diff(np.searchsorted(keep, off))
+    pad = ORDER - 1
+    begin = np.concatenate([[0], np.cumsum(size + pad + 1)])
+    out = np.zeros(begin[-1], np.int32)
+    out[np.arange(len(keep)) + np.repeat(np.arange(rows) * (pad + 1) + pad, size)] = s[keep]
+    key = np.zeros(max(len(out) - pad, 0), np.int32)
+    for k in range(ORDER):
+        key = key << 5 | out[k : k + len(key)]
+    at = begin - np.arange(rows + 1) * pad
+    return key[np.arange(at[-1]) + np.repeat(np.arange(rows) * pad, size + 1)], at
+
+
+def evidence(table: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The features of consecutive texts under a table of log ratios, a row each."""
+    key, at = events(buf, off)
+    rows = len(off) - 1
+    r = table[key].astype(np.float64)
+    total = np.concatenate([[0.0], np.cumsum(r)])
+    ends = np.flatnonzero(key % SYMBOLS == 0) + 1
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    real = ends - starts > 1
+    starts, ends = starts[real], ends[real]
+    row = np.searchsorted(at, starts, "right") - 1
+    word = total[ends] - total[starts]
+    words = np.bincount(row, minlength=rows)
+    out = np.zeros((rows, _FEATURES))
+    out[:, 0] = (total[at[1:]] - total[at[:-1]]) / np.diff(at)
+    # a word said again is no new evidence
+    far = word > BAR
+    said = np.unique(np.stack([row[far], np.round(word[far] * 1000).astype(np.int64)]), axis=1)
+    out[:, 1] = np.bincount(said[0], said[1] / 1000 - BAR, rows) / np.sqrt(words + 1)
+    by = word / np.sqrt(np.maximum(ends - starts, 4))
+    some = by > 0
+    said = np.unique(np.stack([row[some], -np.round(by[some] * 1000).astype(np.int64)]), axis=1)
+    rank = np.arange(said.shape[1]) - np.searchsorted(said[0], said[0])
+    top = said[:, rank < TOP_WORDS]
+    out[:, 2] = np.bincount(top[0], -top[1] / 1000, rows) / TOP_WORDS
+    out[:, 3] = np.log1p(words)
+    return out
+
+
+def _sum(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _pack(code: np.ndarray, n: np.ndarray):
+    """(chunk, bytes) of sorted codes with counts: distances and counts, column by column, deflated."""
+    edge = np.searchsorted(code, np.arange(CHUNKS + 1) * (4 * EVENTS // CHUNKS))
     for c in range(CHUNKS):
-        at = slice(c * width, (c + 1) * width)
-        some = np.flatnonzero(low[at] != _UNSEEN)
-        if len(some):
-            own = (np.diff(some, prepend=0), low[at][some], n[0][at][some], n[1][at][some])
+        i, j = edge[c], edge[c + 1]
+        if i < j:
+            own = (np.diff(code[i:j], prepend=0), n[i:j])
             yield c, zlib.compress(b"".join(np.asarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in own), 1)
 
 
-def _unpack(c: int, x: bytes, n: np.ndarray, low: np.ndarray) -> None:
-    """Adds one task's counts of a chunk."""
+def _unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zlib.decompress(x), np.uint8)
-    step, four, n0, n1 = (np.ascontiguousarray(r.reshape(8, -1).T).view("<i8").ravel() for r in raw.reshape(4, -1))
-    at = np.cumsum(step) + c * (CONTEXTS * SYMBOLS // CHUNKS)
-    n[0][at] += n0
-    n[1][at] += n1
-    low[at] = np.minimum(low[at], four.astype(np.uint32))
+    step, n = (np.ascontiguousarray(r.reshape(8, -1).T).view("<i8").ravel() for r in raw.reshape(2, -1))
+    return np.cumsum(step), n
+
+
+def log_ratios(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The table of log-likelihood ratios (float16, by event) from sorted event numbers and their counts n[class]."""
+    # continuation types by context length: how many different symbols stood before each shorter event
+    levels, longer = [], key
+    for k in range(ORDER - 1, 0, -1):
+        shorter, types = np.unique(longer & ((1 << 5 * k) - 1), return_counts=True)
+        levels.append((k, shorter, types.astype(float)))
+        longer = shorter
+    known, prob = np.zeros(1, np.int64), np.full(1, 1 / SYMBOLS)
+    for k, event, types in reversed(levels):
+        _, own = np.unique(event >> 5, return_inverse=True)
+        total = np.bincount(own, types)
+        free = np.bincount(own, np.minimum(types, BACKOFF)) / total
+        prob = np.maximum(types - BACKOFF, 0) / total[own] + free[own] * prob[np.searchsorted(known, event & ((1 << 5 * (k - 1)) - 1))]
+        known = event
+    back = prob[np.searchsorted(known, key & ((1 << 5 * (ORDER - 1)) - 1))]
+    context, own = np.unique(key >> 5, return_inverse=True)
+    like, free = [], []
+    for c in (0, 1):
+        less = np.minimum(n[c], DISCOUNT)
+        total = np.bincount(own, n[c])
+        weight = np.where(total > 0, np.bincount(own, less) / np.maximum(total, 1), 1.0)
+        like.append((n[c] - less) / np.maximum(total, 1)[own] + weight[own] * back)
+        free.append(weight)
+    out = np.zeros((EVENTS // SYMBOLS, SYMBOLS), np.float16)
+    out[context] = np.log(free[1] / free[0])[:, None]
+    out = out.ravel()
+    out[key] = np.log(like[1] / like[0])
+    return out
 
 
 @dataclass
 class Model:
-    ratio: np.ndarray  # float16, CONTEXTS * SYMBOLS log-likelihood ratios; empty without a model
-    weight: np.ndarray  # of the evidence and 1
+    table: np.ndarray  # float16 log-likelihood ratios by event; empty without a model
+    weight: np.ndarray  # of the features and 1
     prior: float
 
-    def evidence(self, text: bytes | None) -> tuple[float, float]:
-        slot, _, sym = events(text)
-        r = self.ratio[slot].astype(np.float32)
-        ends = np.flatnonzero(sym == 0)
-        if len(sym) < 2:
-            return 0.0, 0.0
-        c = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
-        at = np.concatenate([[0], ends + 1])
-        words = np.diff(c[at]) / np.sqrt(np.maximum(np.diff(at), 4))
-        top = np.unique(np.round(words, 3))[-TOP_WORDS:]  # a word said again is no new evidence
-        return float(r.mean(dtype=np.float64)), float(np.maximum(top, 0).sum() / TOP_WORDS)
-
-    def score(self, text: bytes | None) -> float:
-        if not len(self.ratio):
-            return self.prior
-        z = np.dot(self.weight, (*self.evidence(text), 1.0))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def _ratios(slot: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The table of log ratios from event counts n[class] at slot, whose last four symbols are low."""
-    d = DISCOUNT
-    # shared backoff: types of contexts that a symbol follows, by the last three symbols, then by the last one
-    types = np.bincount(low, minlength=SYMBOLS**4).reshape(-1, SYMBOLS).astype(float)
-    short = (types.reshape(SYMBOLS, SYMBOLS, SYMBOLS, SYMBOLS) > 0).sum(axis=(0, 1)).astype(float)  # [last, symbol]
-    total = np.maximum(short.sum(axis=1, keepdims=True), 1)
-    p2 = np.maximum(short - d, 0) / total + d * (short > 0).sum(axis=1, keepdims=True) / total / SYMBOLS + 1e-6
-    total = np.maximum(types.sum(axis=1, keepdims=True), 1)
-    last = np.arange(SYMBOLS**3) % SYMBOLS
-    p4 = np.maximum(types - d, 0) / total + d * (types > 0).sum(axis=1, keepdims=True) / total * p2[last]
-    back = p4.ravel()[low] + 1e-9
-    ctx = slot >> 5
-    like, free = [], []
-    for c in (0, 1):
-        tot = np.bincount(ctx, n[c], CONTEXTS)
-        kinds = np.bincount(ctx, n[c] > 0, CONTEXTS)
-        lam = np.where(tot > 0, d * kinds / np.maximum(tot, 1), 1.0)
-        like.append(np.maximum(n[c] - d, 0) / np.maximum(tot, 1)[ctx] + lam[ctx] * back)
-        free.append(lam)
-    out = np.repeat(np.log(free[1] / free[0]), SYMBOLS)
-    out[slot] = np.log(like[1] / like[0])
-    return out.astype(np.float16)
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """The score of each row of an Arrow column of texts."""
+        out = np.full(len(texts), self.prior)
+        if len(self.table):
+            for a, b, buf, off in tk.slices(texts):
+                z = evidence(self.table, buf, off) @ self.weight[:-1] + self.weight[-1]
+                out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return out
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights of two features and 1, by Newton steps with a weak pull to zero."""
-    sd = np.maximum(x.std(axis=0), 1e-9)
-    z = np.concatenate([x / sd, np.ones((len(x), 1))], 1)
+    """Logistic weights of the features and 1, by Newton steps with a weak pull to zero."""
+    mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = np.concatenate([(x - mean) / sd, np.ones((len(x), 1))], 1)
+    cost = np.where(y > 0, COST, 1.0)
     w = np.zeros(z.shape[1])
-    pull = np.diag([1e-2] * (len(w) - 1) + [1e-6])
-    for _ in range(50):
+    pull = np.diag([0.3] * (len(w) - 1) + [1e-6])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + pull, z.T @ (p - y) + pull @ w)
+        step = np.linalg.solve((z * (cost * p * (1 - p) + 1e-9)[:, None]).T @ z + pull, z.T @ (cost * (p - y)) + pull @ w)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-7:
             break
-    return np.concatenate([w[:-1] / sd, w[-1:]])
+    w[:-1] /= sd
+    w[-1] -= w[:-1] @ mean
+    return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12000) -> Model:
-    """docs and labels share an id; ids without a 0/1 label teach nothing."""
-    tenth = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("long")), F.lit(10)) == 0
-    src = labelled(docs, labels.where(~tenth), id_col, text_col, label_col)
+def _half(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), F.col(id_col).cast("long")), F.lit(2)).cast("int")
+
+
+def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows: (text, y, half). Gives sorted event numbers, their counts [half, class], and the number of rows [half, class].
+
+    Tasks add up what they count and send it packed, by chunk of events; what tasks send is added up as it arrives."""
     packed = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
     def count(batches):
-        n = np.zeros((2, CONTEXTS * SYMBOLS), np.uint32)
-        low = np.full(CONTEXTS * SYMBOLS, _UNSEEN, np.uint32)
-        rows = [0, 0]
+        sums = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        seen, held, size = np.zeros(4, np.int64), [], 0
         for b in batches:
-            for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                slot, four, _ = events(t)
-                np.add.at(n[y], slot, 1)
-                np.minimum.at(low, slot, four.astype(np.uint32))
-                rows[y] += 1
-        chunks = [(-1, np.array(rows, np.int64).tobytes()), *_pack(n.astype(np.int64), low)]
+            kind = np.asarray(b.column(2)) * 2 + np.asarray(b.column(1))
+            seen += np.bincount(kind, minlength=4)
+            for i, j, buf, off in tk.slices(b.column(0)):
+                key, at = events(buf, off)
+                held.append(key << 2 | np.repeat(kind[i:j], np.diff(at)).astype(np.int32))
+                size += len(key)
+            if size > _BUFFER:
+                u, n = np.unique(np.concatenate(held), return_counts=True)
+                sums, held, size = _sum(np.concatenate([sums[0], u]), np.concatenate([sums[1], n])), [], 0
+        if held:
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            sums = _sum(np.concatenate([sums[0], u]), np.concatenate([sums[1], n]))
+        chunks = [(-1, seen.tobytes()), *_pack(*sums)]
         yield tk.batch(packed, chunk=[c for c, _ in chunks], counts=[x for _, x in chunks])
 
-    schema = pa.schema([("slot", pa.int32()), ("low", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64())])
+    summed = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 
     def add(batches):
-        n = np.zeros((2, CONTEXTS * SYMBOLS), np.int64)
-        low = np.full(CONTEXTS * SYMBOLS, _UNSEEN, np.uint32)
-        rows = np.zeros(2, np.int64)
+        seen, sums = np.zeros(4, np.int64), {}
         for b in batches:
             for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if c < 0:
-                    rows += np.frombuffer(x, np.int64)
-                else:
-                    _unpack(c, x, n, low)
-        some = np.flatnonzero(low != _UNSEEN)
-        yield tk.batch(schema, slot=[-1], low=[0], n0=rows[:1], n1=rows[1:])
-        for i in range(0, len(some), 1 << 16):
-            k = some[i : i + (1 << 16)]
-            yield tk.batch(schema, slot=k, low=low[k], n0=n[0][k], n1=n[1][k])
-
-    # each task sends its counts by chunk of slots, packed; a chunk's counts are added up as they arrive
-    parts = arrow_pass(src, count, "chunk int, counts binary").repartition(CHUNKS // 4, "chunk")
-    sums = arrow_pass(parts, add, "slot int, low int, n0 long, n1 long").toArrow()
-    slot, low, n0, n1 = (np.asarray(sums.column(k)) for k in ("slot", "low", "n0", "n1"))
-    head = slot < 0
-    rows = np.array([n0[head].sum(), n1[head].sum()], float)
-    prior = float(rows[1] / rows.sum()) if rows.sum() else 0.0
-    none = Model(np.zeros(0, np.float16), np.zeros(3), prior)
-    if not rows.all():
-        return none
-    model = Model(_ratios(slot[~head].astype(np.int64), low[~head].astype(np.int64), np.stack([n0[~head], n1[~head]]).astype(float)), np.zeros(3), prior)
-    picked = label_sample(docs, labels.where(tenth), id_col, text_col, label_col, sample_rows).toArrow()
-    y = np.asarray(picked.column("y")).astype(float)
-    if len(set(y.tolist())) < 2:  # too few rows to set a tenth aside
-        picked = label_sample(docs, labels, id_col, text_col, label_col, sample_rows).toArrow()
-        y = np.asarray(picked.column("y")).astype(float)
-    x = np.array([model.evidence(t) for t in picked.column("text").cast(pa.binary()).to_pylist()])
-    model.weight = _curve(x, y)
-    return model
+                    seen += np.frombuffer(x, np.int64)
+                    continue
+                code, n = _unpack(x)
+                own = sums.setdefault(c, np.zeros(4 * EVENTS // CHUNKS, np.int64))
+                own[code - c * len(own)] += n
+        yield tk.batch(summed, code=[-4, -3, -2, -1], n=seen)
+        for c, own in sums.items():
+            some = np.flatnonzero(own)
+            for i in range(0, len(some), 1 << 16):
+                k = some[i : i + (1 << 16)]
+                yield tk.batch(summed, code=k + c * len(own), n=own[k])
+
+    parts = arrow_pass(rows, count, "chunk int, counts binary").repartition(CHUNKS // 4, "chunk")
+    sums = arrow_pass(parts, add, "code int, n long").toArrow()
+    code, n = np.asarray(sums.column("code")), np.asarray(sums.column("n"))
+    seen = np.bincount(code[code < 0] + 4, n[code < 0], 4).reshape(2, 2)
+    code, n = code[code >= 0], n[code >= 0]
+    key, at = np.unique(code >> 2, return_inverse=True)
+    out = np.zeros((4, len(key)))
+    out[code & 3, at] = n
+    return key.astype(np.int64), out.reshape(2, 2, -1), seen
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12000) -> Model:
+    """docs and labels share an id; ids without a 0/1 label teach nothing."""
+    rows = labelled(docs, labels, id_col, text_col, label_col).select("text", "y", _half("id").alias("half"))
+    key, n, seen = _counts(rows)
+    prior = float(seen[:, 1].sum() / seen.sum()) if seen.sum() else 0.0
+    if not seen.all():
+        return Model(np.zeros(0, np.float16), np.zeros(_FEATURES + 1), prior)
+    halves = []
+    for h in (0, 1):
+        own = n[h].any(axis=0)
+        halves.append(log_ratios(key[own], n[h][:, own]))
+    shared = docs.sparkSession.sparkContext.broadcast(halves)  # two tables of fixed size
+    names = [f"x{k}" for k in range(_FEATURES)]
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), *((k, pa.float64()) for k in names)])
+
+    def weigh(batches):
+        for b in batches:
+            half = np.asarray(b.column(3))
+            for a, e, buf, off in tk.slices(b.column(1)):
+                each = [evidence(t, buf, off) for t in shared.value]
+                x = np.where(half[a:e, None] == 0, each[1], each[0])
+                yield tk.batch(schema, id=b.column(0).slice(a, e - a), y=b.column(2).slice(a, e - a), **dict(zip(names, x.T, strict=True)))
+
+    picked = label_sample(docs, labels, id_col, text_col, label_col, sample_rows).select("id", "text", "y", _half("id"))
+    got = arrow_pass(picked, weigh, "id long, y int, " + ", ".join(f"{k} double" for k in names))
+    got = got.orderBy(F.xxhash64("id"), "id", "y", *names).limit(sample_rows).toArrow()
+    shared.unpersist()
+    del halves
+    x = np.stack([np.asarray(got.column(k)) for k in names], 1)
+    return Model(log_ratios(key, n.sum(axis=0)), _curve(x, np.asarray(got.column("y")).astype(float)), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +294,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         m = shared.value
         for b in batches:
-            yield tk.batch(schema, doc_id=b.column(0), score=[m.score(t) for t in b.column(1).cast(pa.binary()).to_pylist()])
+            yield tk.batch(schema, doc_id=b.column(0), score=m.scores(b.column(1)))
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return arrow_pass(src, run, "doc_id long, score double")
@@ -228,6 +308,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", bar: float
     def run(batches):
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([m.score(t) < bar for t in b.column(i).cast(pa.binary()).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(m.scores(b.column(i)) < bar, pa.bool_()))
 
     return arrow_pass(docs, run, docs.schema)
