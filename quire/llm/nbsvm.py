@@ -1,13 +1,17 @@
 """Naive Bayes support vectors: n-gram indicators scaled by class log-count ratios under a linear hinge loss.
 
-A text's n-grams are those of its bytes (orders 1 to 4, with digits and lower-case letters folded so that shape, case and
-marks stay visible) and of its word shapes (orders 1 to 3; a word that repeats the one before has a shape of its own).
-Indicators are hashed into BINS features. The log-count ratios come from every labelled row: tasks count their rows per
-feature and class before the shuffle, and the driver gets BINS sums at most. The weights are fitted by dual coordinate
-descent on a sample of at most `sample_rows` labelled rows (a documented bound), those with the smallest hash of the id, and calibrated to probabilities on the same sample by a logistic curve of the margin.
+A text's n-grams are its words (one and two) and its characters (CHARS bytes, lower-cased), which can tell
+vocabulary; and, so that form shows as well, those of its folded bytes (orders 1 to 4, with digits and lower-case letters
+folded) and of its word shapes (orders 1 to 3; a word that repeats the one before has a shape of its own). Indicators are
+hashed into BINS features. The log-count ratios come from every labelled row: tasks count their rows per feature and class
+before the shuffle, and the driver gets BINS sums at most. The weights are fitted by dual coordinate descent on a sample of
+at most `sample_rows` labelled rows (a documented bound), those with the smallest hash of the id, and calibrated to
+probabilities on the same sample by a logistic curve of the margin. Tasks make the sample's features; no text goes to the
+driver.
 
 Defined results: null counts as an empty text; empty texts have the indicator of no word and get a score like others; with
-no labelled row, or with one class only, every score is that class's share (0.5 without labels). Ids may be null or repeat.
+no labelled row, or with one class only, every score is that class's share (0.5 without labels). Ids may be null or repeat,
+each row gives a row; repeated rows all count; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ from pyspark.sql import functions as F
 from quire.llm import textkit as tk
 from quire.llm.common import arrow_pass, label_sample, labelled
 
-BITS = 17
+BITS = 20
 BINS = 1 << BITS
+CHARS = 4
 _U = np.uint64
 
-# Byte classes: letters a-z to a few sound groups would lose nothing that quality shows, so all fold to one.
+# Byte classes of form: letters and digits of a kind are one.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[97:123] = ord("a")
 _FOLD[65:91] = ord("A")
@@ -39,8 +44,18 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return (tk.mix(x) >> _U(64 - BITS)).astype(np.int32)
 
 
+_last = np.zeros(BINS, np.int32)
+
+
+def _distinct(f: np.ndarray) -> np.ndarray:
+    """f without repeats: of places with one number the last written stays."""
+    place = np.arange(len(f), dtype=np.int32)
+    _last[f] = place
+    return f[_last[f] == place]
+
+
 def features(text: bytes | None) -> np.ndarray:
-    """Sorted distinct feature numbers of a text."""
+    """Distinct feature numbers of a text."""
     buf = np.frombuffer(text or b"", np.uint8)
     out = []
     folded = _FOLD[buf]
@@ -53,12 +68,15 @@ def features(text: bytes | None) -> np.ndarray:
         if len(f) < order:
             break
         g = (g[: len(f) - order + 1] << _U(8)) | f[order - 1 :]
-        out.append(_squash(np.unique(g) | _U(order << 40)))
+        out.append(g | _U(order << 40))
     off = np.array([0, len(buf)])
     s, e, _ = tk.word_spans(buf, off)
+    c = tk.prefix_hash(tk.LOWER[buf])
+    out.append(tk.window_hash(c, CHARS))
     if len(s):
-        c = tk.prefix_hash(tk.LOWER[buf])
         w = tk.span_hash(c, s, e)
+        out.append(w + _U(1 << 57))
+        out.append(w[:-1] * _U(3) + w[1:] + _U(1 << 58))
         size = np.minimum(np.log2((e - s).astype(np.float64) + 1).astype(_U), _U(7))
         upper = (buf[s] >= 65) & (buf[s] <= 90)
         loud = upper & (buf[np.minimum(s + 1, e - 1)] >= 65) & (buf[np.minimum(s + 1, e - 1)] <= 90)
@@ -71,15 +89,15 @@ def features(text: bytes | None) -> np.ndarray:
             if len(shape) < order:
                 break
             h = (h[: len(shape) - order + 1] << _U(14)) | shape[order - 1 :]
-            out.append(_squash(np.unique(h) | _U((order + 8) << 44)))
+            out.append(h | _U((order + 8) << 44))
         # distinct words against words, and repeated neighbours, in steps
         share = len(np.unique(w)) / len(w)
-        out.append(_squash(np.arange(int(share * 10) + 1, dtype=_U) | _U(1 << 60)))
-        out.append(_squash(np.arange(int(again.mean() * 10) + 1, dtype=_U) | _U(1 << 61)))
-        out.append(_squash(np.arange(int(np.log2(len(w))) + 1, dtype=_U) | _U(1 << 62)))
+        out.append(np.arange(int(share * 10) + 1, dtype=_U) | _U(1 << 60))
+        out.append(np.arange(int(again.mean() * 10) + 1, dtype=_U) | _U(1 << 61))
+        out.append(np.arange(int(np.log2(len(w))) + 1, dtype=_U) | _U(1 << 62))
     else:
-        out.append(_squash(np.array([1 << 63], _U)))
-    return np.unique(np.concatenate(out))
+        out.append(np.array([1 << 63], _U))
+    return _distinct(_squash(np.concatenate(out)))
 
 
 @dataclass
@@ -116,8 +134,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise |w|^2 / 2 + cost * sum of hinge losses over rows of scaled indicators at unit-length scaling."""
     w, bias = np.zeros(len(scale)), 0.0
-    vals = [scale[f] / np.sqrt(len(f)) for f in rows]
-    norm = np.array([float(v @ v) + 1.0 for v in vals])
+    norm = np.array([float(scale[f] @ scale[f]) / len(f) + 1.0 for f in rows])
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     limit = np.where(y > 0, cost * share[0], cost * share[1]) * 2
     alpha = np.zeros(len(rows))
@@ -125,7 +142,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i], vals[i]
+            f = rows[i]
+            v = scale[f] / np.sqrt(len(f))
             grad = y[i] * (float(w[f] @ v) + bias) - 1.0
             new = min(max(alpha[i] - grad / norm[i], 0.0), limit[i])
             d = (new - alpha[i]) * y[i]
@@ -139,10 +157,10 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000) -> Model:
     """docs and labels share an id; ids without a 0/1 label teach nothing. sample_rows bounds the rows that the hinge loss
     is fitted on."""
-    src = labelled(docs, labels, id_col, text_col, label_col)
+    src = labelled(docs, labels, id_col, text_col, label_col).select("text", "y")
     counted = pa.schema([("f", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64())])
 
     def count(batches):
@@ -165,8 +183,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     n = np.zeros((2, BINS))
     n[0][f[f >= 0]], n[1][f[f >= 0]] = n0[f >= 0], n1[f >= 0]
     ratio = np.log((n[1] + 1) / (total[1] + 2)) - np.log((n[0] + 1) / (total[0] + 2))
-    picked = label_sample(docs, labels, id_col, text_col, label_col, sample_rows).toArrow()
-    rows = [features(t) for t in picked.column("text").cast(pa.binary()).to_pylist()]
+    rowed = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("f", pa.binary())])
+
+    def read(batches):
+        for b in batches:
+            yield tk.batch(rowed, id=b.column(0), y=b.column(2), f=[features(t).astype("<i4").tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()])
+
+    sample = label_sample(docs, labels, id_col, text_col, label_col, sample_rows)
+    picked = arrow_pass(sample, read, "id long, y int, f binary").orderBy(F.xxhash64("id"), "id", "y", "f").limit(sample_rows).toArrow()
+    rows = [np.frombuffer(x, "<i4") for x in picked.column("f").to_pylist()]
     y = np.asarray(picked.column("y")).astype(float) * 2 - 1
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.float32), 0.0, 0.0, 0.0, prior)
