@@ -9,18 +9,19 @@ links are confirmed on the full shingle sets, recomputed from the texts.
 
 Only components are asked for, so a list of similar sets is not expanded into pairs. In each list every set is first
 held against one centre (the set with the most frequent values, which in a family of copies is the nearest to all). What
-a list still holds apart is then compared across components, a pair of blocks of BLOCK sets at a time, and confirmed there
-by products of indicator matrices; a block pair gives the links of a spanning forest, so that no link between candidates
-goes missing and none is written that components do not need.
+a list still holds apart is then compared across components, a pair of blocks of about BLOCK sets or MASS shingles at a
+time: first by signatures alone; the texts of sets that are left are joined then, and confirmed by products of indicator
+matrices. A block pair gives the links of a spanning forest, so that no link between candidates goes missing and none is
+written that components do not need.
 
 Two sets of similarity s agree in a binomial number of COORDS coordinates; `need` lies 3.5 standard deviations below the
 mean at the threshold (44 of 64 at 0.85, 40 at 0.8), so that one pair at the threshold falls short with a chance of about
 2e-4, and a component is lost only if all its pairs do.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; exact copies (and all texts with the
-same shingle set) are one class whatever their number; rows with a null id are linked like others but never lend their
-id: a component's id is the smallest id that is not null, null if there is none. Extra columns are not read. Rows that
-repeat an id with different texts count as one node that has both texts' links.
+same shingle set) are one class whatever their number; rows with a null id are linked like others but never lend an id: a
+component's id is the smallest id that is not null, null if there is none (ids lie below 2**62). Extra columns are not
+read. Rows that repeat an id with different texts count as one node that has both texts' links. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
@@ -40,6 +41,9 @@ SHINGLE = 5
 COORDS = 64
 #: Sets of one list that are compared with one another in one task.
 BLOCK = 512
+MASS = 1 << 20
+#: Nodes of rows without an id begin here.
+_NAMELESS = 1 << 62
 
 _U = np.uint64
 _MULT = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, COORDS, dtype=_U) | _U(1)
@@ -75,22 +79,27 @@ def _signature(sh: np.ndarray) -> np.ndarray:
     return (tk.mix(sig) >> _U(32)).astype(np.uint32)
 
 
+def _node(id_col: str, text_col: str) -> Column:
+    """The id, or for rows without one a number above all ids that depends on the text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NAMELESS) + F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 61) - 1)))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, sig) of every row; sig is COORDS little-endian 32-bit values, null for an empty set."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.binary())])
+    """(doc_id, node, n_shingles, fp1, fp2, sig) of every row; sig is COORDS little-endian 32-bit values, null for an empty set."""
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
         for b in batches:
             n, f1, f2, sig = [], [], [], []
-            for sh in shingle_sets(b.column(1)):
+            for sh in shingle_sets(b.column(2)):
                 n.append(len(sh))
                 f1.append(int(sh.sum(dtype=_U).astype(np.int64)))
                 f2.append(int(tk.mix(sh + _U(1)).sum(dtype=_U).astype(np.int64)))
                 sig.append(_signature(sh).tobytes() if len(sh) else None)
-            yield tk.batch(out, doc_id=b.column(0), n_shingles=n, fp1=f1, fp2=f2, sig=sig)
+            yield tk.batch(out, doc_id=b.column(0), node=b.column(1), n_shingles=n, fp1=f1, fp2=f2, sig=sig)
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_pass(src, run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), _node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
+    return arrow_pass(src, run, "doc_id long, node long, n_shingles long, fp1 long, fp2 long, sig binary")
 
 
 def _matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -196,66 +205,81 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def _across(apart: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _across(ws: Workspace, apart: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join what lists still hold apart, confirmed on full sets; of each block pair only a spanning forest."""
-    sized = apart.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    mass = apart.join(sigs.select("rep", "n"), "rep").groupBy("token").agg(F.sum("n").alias("mass"))
+    sized = apart.join(mass, "token").withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.least("size", F.ceil(F.col("mass") / MASS))))
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # a work item is an unordered pair of a list's blocks; a row goes to the items of its block
     items = sized.select("token", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     items = items.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "comp")
-    items = items.join(sigs, "rep").join(bodies, "rep")
+    keyed = pa.schema([("token", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64())])
     two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     need, (num, den) = needed(threshold), threshold
 
-    def compare(t: pa.Table) -> pa.Table:
-        rep, comp = (np.asarray(t.column(k)) for k in ("rep", "comp"))
+    def collide(t: pa.Table) -> pa.Table:
+        comp = np.asarray(t.column("comp"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, COORDS)
-        near = np.stack([_matches(sig, s) >= need for s in sig]) & (comp[:, None] != comp[None, :])
-        some = np.flatnonzero(near.any(axis=1))
-        found = []
-        if len(some):
-            sets = list(shingle_sets(t.column("text").take(pa.array(some))))
-            both = _common(sets)
-            size = np.array([len(x) for x in sets])
-            link = near[np.ix_(some, some)] & (den * both >= num * (size[:, None] + size[None, :] - both))
-            found = [(rep[some[i]], rep[some[j]]) for i, j in _forest(len(some), link)]
+        some = [k for k in range(len(sig)) if ((_matches(sig, sig[k]) >= need) & (comp != comp[k])).any()]
+        return t.select(keyed.names).take(pa.array(some, pa.int64())).cast(keyed)
+
+    left = ws.save(items.join(sigs.select("rep", "sig"), "rep").groupBy("token", "x", "y").applyInArrow(collide, "token long, x long, y long, rep long, comp long"))
+
+    def confirm(t: pa.Table) -> pa.Table:
+        rep, comp = (np.asarray(t.column(k)) for k in ("rep", "comp"))
+        sets = list(shingle_sets(t.column("text")))
+        both = _common(sets)
+        size = np.array([len(x) for x in sets])
+        link = (comp[:, None] != comp[None, :]) & (den * both >= num * (size[:, None] + size[None, :] - both))
+        found = [(rep[i], rep[j]) for i, j in _forest(len(sets), link)]
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=two)
 
-    return items.groupBy("token", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    links = ws.save(left.join(bodies, "rep").groupBy("token", "x", "y").applyInArrow(confirm, "a long, b long").distinct())
+    ws.drop(left, apart)
+    return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (85, 100), name: str = "near") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs. threshold: (numerator, denominator) of the least
-    similarity, which the signatures are long enough for from about 0.7 on."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int], name: str) -> DataFrame:
+    """(doc_id, node, n_shingles, top) of every row: top is the smallest node of its component."""
     ws = Workspace(docs.sparkSession, name)
     every = ws.save(signatures(docs, id_col, text_col))
-    known = every.where("doc_id is not null and n_shingles > 0")
-    classes = ws.save(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    sigs = ws.save(known.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep", "sig"]))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    posts = _posts(ws, sigs, needed(threshold))
+    known = every.where("n_shingles > 0")
+    classes = ws.save(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("node").alias("rep")))
+    one = known.join(classes.select("rep").distinct(), F.col("node") == F.col("rep"), "left_semi")
+    first = ws.save(one.select(F.col("node").alias("rep"), "sig", F.col("n_shingles").alias("n")).dropDuplicates(["rep", "sig"]))
+    texts = docs.select(_node(id_col, text_col).alias("rep"), F.col(text_col).alias("text"))
+    posts = _posts(ws, first, needed(threshold))
     able = posts.select(F.col("rep").alias("able")).distinct()
     bodies = ws.save(texts.join(able, F.col("rep") == F.col("able"), "left_semi").dropDuplicates())
-    sigs = ws.save(sigs.join(able, F.col("rep") == F.col("able"), "left_semi"))
+    sigs = ws.save(first.join(able, F.col("rep") == F.col("able"), "left_semi"))
     comp = posts.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     centre = posts.groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("c")).select("token", F.col("c.rep").alias("centre"))
     found = posts.join(centre, "token").where("rep <> centre")
     pairs = ws.save(found.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
     if not pairs.isEmpty():
-        comp = components(ws, _confirm(ws, pairs, sigs, bodies, threshold))
-        links = ws.save(_across(_apart(ws, posts, comp), sigs, bodies, threshold))
+        stars = _confirm(ws, pairs, sigs, bodies, threshold)
+        comp = components(ws, stars)
+        links = _across(ws, _apart(ws, posts, comp), sigs, bodies, threshold)
         if not links.isEmpty():
             comp = components(ws, links.union(comp.toDF("a", "b")))
-    top = classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
-    top = ws.save(top)
-    out = every.select("doc_id", "n_shingles", F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).join(top, (F.col("f1") == F.col("fp1")) & (F.col("f2") == F.col("fp2")) & (F.col("n") == F.col("n_shingles")), "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+        ws.drop(stars, links)
+    top = ws.save(classes.join(comp, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("top")))
+    ws.drop(classes, first, posts, bodies, sigs, pairs)
+    out = every.withColumnsRenamed({"fp1": "f1", "fp2": "f2"}).join(top, (F.col("f1") == F.col("fp1")) & (F.col("f2") == F.col("fp2")) & (F.col("n") == F.col("n_shingles")), "left")
+    return out.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("node")).otherwise(F.col("top")).alias("top"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (85, 100), name: str = "near") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs. threshold: (numerator, denominator) of the least
+    similarity, which the signatures are long enough for from about 0.7 on."""
+    own = F.when(F.col("top") < _NAMELESS, F.col("top"))
+    return _grouped(docs, id_col, text_col, threshold, name).select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs, all columns, with one row of each component: the one with the smallest id. Rows without an id take part and
-    stay only if no row with an id is like them; of rows that repeat an id one stays; texts without words all stay."""
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 61) - 1)))
-    keyed = docs.withColumn("quire_id", own)
-    kept = near_duplicates(keyed, "quire_id", text_col, threshold, "dedup").where("kept").select(F.col("doc_id").alias("quire_kept")).distinct()
+    stay only if no row with an id is like them (of several such rows alike, one stays); of rows that repeat an id one
+    stays; texts without words all stay."""
+    keyed = docs.withColumn("quire_id", _node(id_col, text_col))
+    kept = _grouped(keyed, "quire_id", text_col, threshold, "dedup").where("node = top").select(F.col("node").alias("quire_kept")).distinct()
     return keyed.join(kept, F.col("quire_id") == F.col("quire_kept"), "left_semi").dropDuplicates(["quire_id"]).drop("quire_id")
