@@ -108,9 +108,10 @@ class UnitTokenizer:
             k = words[i : i + 4096]
             ids = np.array(self.tok.encode(" ".join([units[j] for j in k]), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(k):
-                raise ValueError("words could not be told apart")
-            self._add(h[k], np.diff(ends, prepend=0), ids)
+            if len(ends) == len(k):
+                self._add(h[k], np.diff(ends, prepend=0), ids)
+            else:  # a vocabulary whose words cannot be told apart: one by one
+                other = np.concatenate([other, k])
         got = [e.ids for e in self.tok.encode_batch_fast([units[j] for j in other], add_special_tokens=False)]
         self._add(h[other], np.array([len(x) for x in got], np.int64), np.array([y for x in got for y in x], np.uint32))
 
