@@ -239,14 +239,75 @@ def test_toxicity(spark, odd, odd_rows, nothing):
 
 def test_packed_counts():
     rng = np.random.default_rng(0)
-    size = toxicity.CONTEXTS * toxicity.SYMBOLS
-    n, low = np.zeros((2, size), np.int64), np.full(size, toxicity._UNSEEN, np.uint32)
-    k = rng.integers(0, size, 5000)
-    n[0][k], n[1][k], low[k] = rng.integers(0, 1 << 40, (2, 5000))[0], 7, rng.integers(0, 1 << 20, 5000)
-    m, back = np.zeros_like(n), np.full_like(low, toxicity._UNSEEN)
-    for c, x in toxicity._pack(n, low):
-        toxicity._unpack(c, x, m, back)
-    assert (m == n).all() and (back == low).all()
+    code = np.unique(rng.integers(0, 4 * toxicity.EVENTS, 5000))
+    n = rng.integers(1, 1 << 40, len(code))
+    width = 4 * toxicity.EVENTS // toxicity.CHUNKS
+    back = [(c, *toxicity._unpack(x)) for c, x in toxicity._pack(code, n)]
+    assert all((k // width == c).all() for c, k, _ in back)
+    assert (np.concatenate([k for _, k, _ in back]) == code).all() and (np.concatenate([m for *_, m in back]) == n).all()
+
+
+def plain_symbols(t):
+    """The alphabet, said again: letters, digits, marks as one blank between words."""
+    out = []
+    for byte in (t or "").encode():
+        c = chr(byte)
+        k = 31 if byte >= 0xC0 else 1 + byte % 64 % 30 if byte >= 0x80 else ord(c.lower()) - 96 if c.isalpha() else 27 if c.isdigit() else 0
+        if k or (out and out[-1]):
+            out.append(k)
+    return [0] * 4 + out + [0]
+
+
+def test_kneser_ney_plainly():
+    """The table against Kneser-Ney estimates by dictionaries, in fractions of the same counts."""
+    rng = random.Random(1)
+    texts = [(insult(prose(rng, 12), rng) if i % 3 == 0 else prose(rng, 12), int(i % 3 == 0)) for i in range(40)] + [("", 0), (None, 1), ("42 été", 0)]
+    own = [{}, {}]
+    for t, y in texts:
+        s = plain_symbols(t)
+        for i in range(4, len(s)):
+            e = tuple(s[i - 4 : i + 1])
+            own[y][e] = own[y].get(e, 0) + 1
+    sets = [set(own[0]) | set(own[1])]
+    kinds = []
+    for _ in range(4):  # how many different symbols stood before each shorter event
+        before = {}
+        for e in sets[-1]:
+            before.setdefault(e[1:], set()).add(e[0])
+        kinds.append({e: len(x) for e, x in before.items()})
+        sets.append(set(before))
+
+    def shared(e):
+        if not e:
+            return 1 / 32
+        level = kinds[4 - len(e)]
+        same = [n for x, n in level.items() if x[:-1] == e[:-1]]
+        return max(level[e] - 0.75, 0) / sum(same) + sum(min(n, 0.75) for n in same) / sum(same) * shared(e[1:])
+
+    def like(y, e):
+        same = [n for x, n in own[y].items() if x[:-1] == e[:-1]]
+        back = shared(e[1:])
+        if not same:
+            return back
+        n = own[y].get(e, 0)
+        return (n - min(n, 2.5)) / sum(same) + sum(min(x, 2.5) for x in same) / sum(same) * back
+
+    number = lambda e: sum(k << 5 * (4 - i) for i, k in enumerate(e))
+    key = np.array(sorted(map(number, sets[0])))
+    by = {number(e): e for e in sets[0]}
+    n = np.array([[own[y].get(by[k], 0) for k in key.tolist()] for y in (0, 1)], float)
+    table = toxicity.log_ratios(key, n)
+    for k in key.tolist()[::7]:
+        assert abs(float(table[k]) - np.log(like(1, by[k]) / like(0, by[k]))) < 5e-3
+    buf = pa.array([t for t, _ in texts], pa.string())
+    for _, _, b, off in tk.slices(buf):
+        got, at = toxicity.events(b, off)
+        x = toxicity.evidence(table, b, off)
+    for i, (t, _) in enumerate(texts):
+        s = plain_symbols(t)
+        want = [number(s[k - 4 : k + 1]) for k in range(4, len(s))]
+        assert got[at[i] : at[i + 1]].tolist() == want
+        assert abs(x[i, 0] - np.mean([float(table[k]) for k in want])) < 1e-6  # length-normalised
 
 
 def test_quality(spark, odd, odd_rows, nothing):
@@ -281,9 +342,61 @@ def test_language(spark, odd, odd_rows, nothing):
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
 
 
-def test_trigram_vectors_are_bound_and_permuted():
-    t = langid._trigrams().reshape(langid.SYMBOLS, langid.SYMBOLS, langid.SYMBOLS, langid.DIMS)
-    assert set(np.unique(t)) == {-1.0, 1.0}
-    assert abs(float(t[1, 2, 3] @ t[3, 2, 1])) < langid.DIMS / 2  # order matters
-    # binding is a product of permuted letters: the last letter comes back from two trigrams that differ in it
-    assert (t[1, 2, 3] * t[1, 2, 4] == t[5, 6, 3] * t[5, 6, 4]).all()
+def plain_vector(t):
+    """A text's bundle, a trigram at a time."""
+    out = np.zeros(langid.DIMS)
+    s = [0] + [ord(c) if c.isalpha() else 0 for c in (t or "").lower()] + [0]
+    letter = lambda c: 1 - 2 * np.unpackbits(langid.letter_bits(np.array([c]))[0]).astype(float)
+    for i in range(1, len(s) - 1):
+        if s[i]:
+            out += np.roll(letter(s[i - 1]), 2) * np.roll(letter(s[i]), 1) * letter(s[i + 1])
+    return out
+
+
+def test_language_vectors_plainly():
+    texts = ["Die Ölung, ja", "", None, "日本語 テスト", "a", "12 . 7", "aba bab aba", "😀 x𝔘y"]
+    v = langid.vectors(texts)
+    for t, x in zip(texts, v, strict=True):
+        plain = plain_vector(t)
+        assert np.allclose(x * np.linalg.norm(plain), plain, atol=1e-3), t
+    assert abs(plain_vector("abc") @ plain_vector("cba")) < 0.5 * np.linalg.norm(plain_vector("abc")) ** 2  # order matters
+    near = plain_vector("abc")
+    assert near.any() and langid.letter_bits(np.arange(5)).shape == (5, langid.DIMS // 8)
+
+
+def test_language_prototypes_plainly(spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate([("ein wort", "de"), ("un mot", "fr"), ("noch eins", "de"), ("une phrase", "fr"), ("x", None), (None, "de")])]
+    protos = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    for y in ("de", "fr"):
+        want = sum(plain_vector(t) for _, t, z in rows if z == y and t)
+        assert np.allclose(protos[y], want / np.linalg.norm(want), atol=1e-5)
+    got = langid.predict(spark.createDataFrame([(1, "ein mot")], "doc_id long, text string"), protos).first()
+    cos = {y: plain_vector("ein mot") @ protos[y] / np.linalg.norm(plain_vector("ein mot")) for y in protos}
+    assert got.lang_pred == max(cos, key=cos.get) and abs(got.score - max(cos.values())) < 1e-5
+
+
+def test_log_count_ratios_plainly(spark):
+    """The model's weights are those of a hinge loss fitted on ratios that are counted text by text."""
+    docs, labels = learnable(spark, insult, n=90)
+    model = nbsvm.fit(docs, labels, "y", sample_rows=90)
+    rows = {r.doc_id: nbsvm.features((r.text or "").encode()) for r in docs.collect()}
+    y = {r.doc_id: r.y for r in labels.collect() if r.y is not None and r.doc_id in rows}
+    n = np.ones((2, nbsvm.BINS))
+    for i, f in rows.items():
+        assert len(set(f.tolist())) == len(f)
+        if i in y:
+            n[y[i]][f] += 1
+    total = [sum(v == c for v in y.values()) + 2 for c in (0, 1)]
+    ratio = np.log(n[1] / total[1]) - np.log(n[0] / total[0])
+    used = np.flatnonzero(model.weight)
+    sign = {i: np.sign(model.weight[f] @ np.ones(len(f)) / np.sqrt(len(f)) + model.bias) for i, f in rows.items()}
+    assert np.mean([sign[i] == (1 if y[i] else -1) for i in y]) > 0.95
+    # a weight is a multiple of its ratio, so it is none where the classes have a feature alike
+    assert (np.abs(ratio[used]) > 0).all()
+
+
+def test_quality_learns_words(spark):
+    """Texts of one shape that differ by their words only."""
+    docs, labels = learnable(spark, insult)
+    model = nbsvm.fit(docs.where("doc_id % 5 <> 0"), labels.where("doc_id % 5 <> 0"), "y")
+    assert accuracy(nbsvm.score(docs, model)) >= 0.9
