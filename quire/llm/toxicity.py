@@ -8,7 +8,7 @@ to what both classes share, and says little. Where neither class has seen a symb
 the ratio and only the two backoff weights are left.
 
 Counts are exact: each context and symbol is a number of 25 bits, nothing shares a slot. What is gathered grows with the
-labelled texts, up to the 2**25 events there are; so a model is a table of 64 MB at most, which is broadcast.
+labelled texts, up to the 2**25 events there are; so a model is a table of 64 MB, which is broadcast deflated.
 
 A text's evidence is its log-likelihood ratio by symbol over the whole text, and the same word by word: what distinct words
 have beyond BAR, and the strongest of them. A logistic curve makes a probability of these and of the number of words. The
@@ -161,18 +161,31 @@ def log_ratios(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+class Table:
+    """Log ratios (float16, by event), deflated where they travel; empty without a model."""
+
+    def __init__(self, ratio: np.ndarray):
+        self.ratio = ratio
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.ratio.tobytes(), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.ratio = np.frombuffer(zlib.decompress(state), np.float16)
+
+
 @dataclass
 class Model:
-    table: np.ndarray  # float16 log-likelihood ratios by event; empty without a model
+    table: Table
     weight: np.ndarray  # of the features and 1
     prior: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """The score of each row of an Arrow column of texts."""
         out = np.full(len(texts), self.prior)
-        if len(self.table):
+        if len(self.table.ratio):
             for a, b, buf, off in tk.slices(texts):
-                z = evidence(self.table, buf, off) @ self.weight[:-1] + self.weight[-1]
+                z = evidence(self.table.ratio, buf, off) @ self.weight[:-1] + self.weight[-1]
                 out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
@@ -260,11 +273,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     key, n, seen = _counts(rows)
     prior = float(seen[:, 1].sum() / seen.sum()) if seen.sum() else 0.0
     if not seen.all():
-        return Model(np.zeros(0, np.float16), np.zeros(_FEATURES + 1), prior)
+        return Model(Table(np.zeros(0, np.float16)), np.zeros(_FEATURES + 1), prior)
     halves = []
     for h in (0, 1):
         own = n[h].any(axis=0)
-        halves.append(log_ratios(key[own], n[h][:, own]))
+        halves.append(Table(log_ratios(key[own], n[h][:, own])))
     shared = docs.sparkSession.sparkContext.broadcast(halves)  # two tables of fixed size
     names = [f"x{k}" for k in range(_FEATURES)]
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), *((k, pa.float64()) for k in names)])
@@ -273,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         for b in batches:
             half = np.asarray(b.column(3))
             for a, e, buf, off in tk.slices(b.column(1)):
-                each = [evidence(t, buf, off) for t in shared.value]
+                each = [evidence(t.ratio, buf, off) for t in shared.value]
                 x = np.where(half[a:e, None] == 0, each[1], each[0])
                 yield tk.batch(schema, id=b.column(0).slice(a, e - a), y=b.column(2).slice(a, e - a), **dict(zip(names, x.T, strict=True)))
 
@@ -283,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     shared.unpersist()
     del halves
     x = np.stack([np.asarray(got.column(k)) for k in names], 1)
-    return Model(log_ratios(key, n.sum(axis=0)), _curve(x, np.asarray(got.column("y")).astype(float)), prior)
+    return Model(Table(log_ratios(key, n.sum(axis=0))), _curve(x, np.asarray(got.column("y")).astype(float)), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
