@@ -6,14 +6,21 @@ side by side. A query descends each tree to its own string, and then ascends all
 prefixes, until the rows that share the prefix number `want` over all trees; those are its candidates.
 
 Prefix counts come from a histogram of the strings, TREES * 2**LENGTH numbers at most, so each query's depth is known
-before rows move. `want` is fitted on at most SAMPLE queries: these are compared with all rows, and the least `want` is
-taken at which the candidates hold FOUND of their true neighbours; so the search is as wide as the data need it. Rows then
-go, once for each tree, to the task of their prefix at the base depth, the depth that all but a hundredth of the queries
-reach; there they are sorted by string and each query takes the range of its own prefix. Groups beyond BLOCK rows are
-split, and queries go to every part, so one dense region does not make one task. The few queries that must ascend beyond
-the base depth are compared with all rows in blocks. Each task gives its K nearest; the best of those are kept.
+before rows move. `want` is at least TREES * (k + 1), so that a query has k other rows among its candidates. Beyond that it
+is fitted on at most SAMPLE queries: these are compared with all rows, and the least `want` is taken at which the candidates
+hold FOUND of their true neighbours; so the search is as wide as the data need it. Rows then go, once for each tree, to the
+task of their prefix at the base depth, the depth that all but a hundredth of the queries reach; there they are sorted by
+string and each query takes the range of its own prefix. A group is dealt out as a grid of at most about BLOCK rows by
+QUERIES queries, so one dense region does not make one task. Queries that must ascend beyond the base depth, at last to the
+root, and those that repeated ids leave with fewer than k rows, are compared with all rows in such grids. Each task gives
+its K nearest; the best of those are kept.
 
 Equal vectors are one point of the forest that carries its K + 1 smallest ids, which is as many as a query can need.
+
+Defined results: vectors that take no part (see vectors.read), and those that differ in width from most (of equally many the
+smaller width counts), are neither queries nor candidates; an empty table gives no row. Ties go to the smaller id. Vectors
+that share an id are one: the nearest of them counts, among queries as among candidates, and never its own id. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -22,18 +29,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
 from quire.llm.common import Workspace, arrow_pass
-from quire.llm.vectors import component_bytes, matrix, read
+from quire.llm.vectors import common_width, component_bytes, matrix, read
 
 TREES = 24
 LENGTH = 14
 SAMPLE = 128
 FOUND = 0.96
 BLOCK = 4096
+QUERIES = 1024
 
 
 def _directions(width: int) -> np.ndarray:
@@ -46,11 +54,14 @@ def strings(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return bits @ (1 << np.arange(LENGTH - 1, -1, -1))
 
 
-def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the k rows nearest to q other than `own`, ties to the smaller id."""
+def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, once: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k ids nearest to q other than `own`, ties to the smaller id. once: no id repeats."""
     d = np.sqrt(((x - q) ** 2).sum(axis=1))
     d = np.where(ids == own, np.inf, d)
-    if len(d) > 4 * k:
+    if not once:
+        order = np.lexsort((ids, d))
+        some = np.sort(order[np.sort(np.unique(ids[order], return_index=True)[1])][:k])
+    elif len(d) > 4 * k:
         bar = np.partition(d, k - 1)[k - 1]
         some = np.flatnonzero(d <= bar)
     else:
@@ -101,6 +112,7 @@ def _blocks(points: DataFrame, queries: DataFrame, keys: list[str], width: int,
             order = np.argsort(s, kind="stable")
             x, ids, s = x[order], ids[order], s[order]
         q = matrix(right.column("qvec"), width)
+        once = len(np.unique(ids)) == len(ids)
         found = []
         for i, own, depth in zip(range(len(q)), right.column("query_id").to_pylist(), right.column("depth").to_pylist(), strict=True):
             a, b = 0, len(x)
@@ -108,31 +120,27 @@ def _blocks(points: DataFrame, queries: DataFrame, keys: list[str], width: int,
                 low = int(strings(q[i : i + 1], directions)[0, tree]) >> (LENGTH - depth) << (LENGTH - depth)
                 a, b = np.searchsorted(s, [low, low + (1 << (LENGTH - depth))])
             if a < b:
-                found.append((own, *_nearest(x[a:b], ids[a:b], q[i], own, k)))
+                found.append((own, *_nearest(x[a:b], ids[a:b], q[i], own, k, once)))
         return pa.Table.from_batches([_hits(found)], _HIT)
 
     return points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
 
 
 def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k rows found nearest to each row whose id is divisible by `every`.
-
-    Vectors that take no part (see vectors.read) are neither queries nor candidates; an empty table gives no row. Rows
-    that repeat an id are candidates like others, but not for queries with that id. All vectors must have one width."""
+    """(query_id, rank, vec_id, score) of the k rows found nearest to each row whose id is divisible by `every`."""
     spark = table.sparkSession
     ws = Workspace(spark, "forest")
-    rows = ws.save(read(table, id_col, vec_col).where("vec is not null"))
-    head = rows.agg(F.count("*").alias("n"), F.max(F.length("vec")).alias("w"), F.min(F.length("vec")).alias("v")).first()
+    read_in = ws.save(read(table, id_col, vec_col).distinct())
+    total, size = common_width(read_in)
+    rows = read_in.where(F.length("vec") == size)
     empty = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    if not head.n:
+    if not total:
         return empty
-    if head.w != head.v:
-        raise ValueError("vectors differ in width")
-    width, total = head.w // component_bytes(table, vec_col), head.n
+    width = size // component_bytes(table, vec_col)
     # one point for equal vectors; no query needs more than the k + 1 smallest ids of a point
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     points = ws.save(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
-    queries = ws.save(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")).distinct())
+    queries = ws.save(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")))
     sample = [(r.query_id, bytes(r.qvec)) for r in queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).collect()]
     if not sample:
         return empty
@@ -140,7 +148,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
 
     def top(hits: DataFrame) -> DataFrame:
-        return hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        near = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # the nearest of vectors that share an id
+        return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     # histogram of strings
     counted = pa.schema([("tree", pa.int32()), ("s", pa.int32()), ("n", pa.int64())])
@@ -153,10 +162,13 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         some = np.flatnonzero(n)
         yield tk.batch(counted, tree=some >> LENGTH, s=some & ((1 << LENGTH) - 1), n=n[some])
 
-    h = arrow_pass(points.select("vec"), histogram, "tree int, s int, n long").groupBy("tree", "s").agg(F.sum("n").alias("n")).toArrow()
-    hist = np.zeros((TREES, (1 << LENGTH) + 1), np.int64)
-    hist[np.asarray(h.column("tree")), np.asarray(h.column("s")) + 1] = np.asarray(h.column("n"))
-    below = hist.cumsum(axis=1)
+    def cumulated(vectors: DataFrame) -> np.ndarray:
+        h = arrow_pass(vectors, histogram, "tree int, s int, n long").groupBy("tree", "s").agg(F.sum("n").alias("n")).toArrow()
+        hist = np.zeros((TREES, (1 << LENGTH) + 1), np.int64)
+        hist[np.asarray(h.column("tree")), np.asarray(h.column("s")) + 1] = np.asarray(h.column("n"))
+        return hist.cumsum(axis=1)
+
+    below, asked = cumulated(points.select("vec")), cumulated(queries.select("qvec"))
 
     def counts(q: np.ndarray) -> np.ndarray:
         """Rows that share each query's prefix over all trees, for depths 0 to LENGTH."""
@@ -177,7 +189,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     shared = (LENGTH - np.ceil(np.log2(apart + 1))).max(axis=1) if len(truth) else np.zeros(0)
     n_at = counts(own)
     want = TREES * total
-    for w in sorted({int(x) for x in np.geomspace(32, TREES * total + 1, 60)}):
+    for w in sorted({int(x) for x in np.geomspace(TREES * (k + 1), max(TREES * (k + 2), TREES * total + 1), 60)}):
         depth = (n_at >= w).sum(axis=1) - 1
         if (shared >= depth).mean() >= FOUND if len(truth) else True:
             want = w
@@ -198,30 +210,44 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             base = d
             break
         passed += by_depth[d]
-    sizes = np.diff(below[:, :: 1 << (LENGTH - base)], axis=1)
-    parts = np.ceil(sizes / BLOCK).astype(np.int32).clip(1)  # TREES * 2**LENGTH numbers at most
-    prefix_of = pa.schema([("id", pa.int64()), ("v", pa.binary()), ("p", pa.list_(pa.int32())), ("m", pa.list_(pa.int32()))])
+    # the grid of each group: parts of rows and parts of queries, TREES * 2**LENGTH numbers at most
+    parts, shares = (np.ceil(np.diff(x[:, :: 1 << (LENGTH - base)], axis=1) / n).astype(np.int32).clip(1) for x, n in ((below, BLOCK), (asked, QUERIES)))
+    prefix_of = pa.schema([("id", pa.int64()), ("v", pa.binary()), *((c, pa.list_(pa.int32())) for c in ("p", "m", "q"))])
 
     def prefixes(batches):
         for b in batches:
             p = (strings(matrix(b.column(1), width), directions) >> (LENGTH - base)) if b.num_rows else np.zeros((0, TREES), int)
-            yield tk.batch(prefix_of, id=b.column(0), v=b.column(1), p=p.tolist(), m=parts[np.arange(TREES), p].tolist())
+            yield tk.batch(prefix_of, id=b.column(0), v=b.column(1), p=p.tolist(), m=parts[np.arange(TREES), p].tolist(), q=shares[np.arange(TREES), p].tolist())
 
     def spread(df: DataFrame) -> DataFrame:
-        each = arrow_pass(df, prefixes, "id long, v binary, p array<int>, m array<int>").select("id", "v", F.posexplode(F.arrays_zip("p", "m")).alias("tree", "g"))
-        return each.select("id", "v", "tree", F.col("g.p").alias("prefix"), F.col("g.m").alias("m"))
+        each = arrow_pass(df, prefixes, "id long, v binary, p array<int>, m array<int>, q array<int>").select("id", "v", F.posexplode(F.arrays_zip("p", "m", "q")).alias("tree", "g"))
+        return each.select("id", "v", "tree", F.col("g.p").alias("prefix"), F.col("g.m").alias("m"), F.col("g.q").alias("q"))
+
+    def dealt(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def all_of(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def against_all(some: DataFrame) -> DataFrame:
+        grid = [F.lit(math.ceil(total / BLOCK)).alias("m"), F.lit(math.ceil(asked[0, -1] / QUERIES)).alias("q")]
+        left = points.select(F.col("vec_id").alias("id"), "vec", *grid).select(dealt("m").alias("part"), all_of("q").alias("share"), F.col("id").alias("vec_id"), "vec")
+        right = some.select(F.col("query_id").alias("id"), "qvec", *grid).select(dealt("q").alias("share"), all_of("m").alias("part"), F.col("id").alias("query_id"), "qvec", F.lit(-1).alias("tree"), F.lit(0).alias("depth"))
+        return _blocks(left, right, ["part", "share"], width, k, directions)
 
     hits = []
     if base > 0:
-        left = spread(points.select("vec_id", "vec")).select("tree", "prefix", F.pmod(F.xxhash64("id"), "m").cast("int").alias("part"), F.col("id").alias("vec_id"), F.col("v").alias("vec"))
-        right = spread(deep.where(F.col("depth") >= base).select("query_id", "qvec")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        right = right.join(deep.select("query_id", "depth"), F.col("id") == F.col("query_id")).select("tree", "prefix", "part", "query_id", F.col("v").alias("qvec"), "depth")
-        hits.append(_blocks(left, right, ["tree", "prefix", "part"], width, k, directions))
-    rest = deep.where(F.col("depth") < base) if base > 0 else deep
+        left = spread(points.select("vec_id", "vec")).select("tree", "prefix", dealt("m").alias("part"), all_of("q").alias("share"), F.col("id").alias("vec_id"), F.col("v").alias("vec"))
+        right = spread(deep.where(F.col("depth") >= base).select("query_id", "qvec")).select("id", "v", "tree", "prefix", dealt("q").alias("share"), all_of("m").alias("part"))
+        depths = deep.select(F.col("query_id").alias("own"), F.col("qvec").alias("own_vec"), "depth")
+        right = right.join(depths, (F.col("id") == F.col("own")) & (F.col("v") == F.col("own_vec"))).select("tree", "prefix", "part", "share", F.col("id").alias("query_id"), F.col("v").alias("qvec"), "depth")
+        hits.append(_blocks(left, right, ["tree", "prefix", "part", "share"], width, k, directions))
     if base == 0 or passed:
-        n_blocks = math.ceil(total / BLOCK)
-        left = points.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("part"), "vec_id", "vec")
-        right = rest.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part"), "query_id", "qvec", F.lit(-1).alias("tree"), F.lit(0).alias("depth"))
-        hits.append(_blocks(left, right, ["part"], width, k, directions))
-    out = hits[0] if len(hits) == 1 else hits[0].union(hits[1])
-    return top(out).select("query_id", "rank", "vec_id", "score")
+        hits.append(against_all(deep.where(F.col("depth") < base) if base > 0 else deep))
+    found = ws.save(top(hits[0] if len(hits) == 1 else hits[0].union(hits[1])))
+    short = deep.join(found.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    if total > k and not short.isEmpty():
+        found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").union(top(against_all(short)).select(*found.columns))
+    else:
+        ws.drop(points, deep)
+    return found.select("query_id", "rank", "vec_id", "score")

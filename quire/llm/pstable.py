@@ -8,7 +8,14 @@ grow with them, so that a pair at the threshold is missed with a chance of at mo
 
 A pair is counted in the first table that it shares a bucket in only, so counts of links add up over tables and no pair is
 written: a bucket gives each of its vectors a count, and the links of a spanning forest for the components. Equal vectors
-are one point with a weight. A large bucket is compared a pair of blocks of BLOCK rows at a time, each in its own task.
+are one point with a weight. A large bucket is compared a pair of blocks of BLOCK rows at a time, each in its own task. A
+bucket that holds the same vectors as one of an earlier table has nothing new and is left out; of others, vectors that met
+in an earlier table's bucket are not multiplied again.
+
+Defined results: vectors that take no part (see vectors.read), and those that differ in width from most (of equally many the
+smaller width counts), link with nothing; a row with a null id has component null. Rows that repeat an id are one node for
+components, and each counts as a vector of its own. Ties cannot matter. An empty table gives no row; extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from quire.llm import textkit as tk
 from quire.llm.common import Workspace, arrow_pass
 from quire.llm.components import components
 from quire.llm.minhash import _forest
-from quire.llm.vectors import component_bytes, matrix, read
+from quire.llm.vectors import common_width, component_bytes, matrix, read
 
 TABLES = 32  # at least
 MISS = 1e-3
@@ -59,22 +66,49 @@ def buckets(unit: np.ndarray, k: int, count: int) -> np.ndarray:
     return (h >> _U(32)).astype(np.uint32)
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row.
+def _fresh(v: np.ndarray, h: np.ndarray, t: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit rows with a product of at least `least` that share a bucket in none of the tables before t.
+
+    Rows are taken in classes, by the earlier table that puts most of them together; rows of one class are not multiplied."""
+    n = len(v)
+    if t:
+        own = [np.unique(h[:, e], return_inverse=True)[1] for e in range(t)]
+        own = own[int(np.argmin([x.max() for x in own]))]
+    else:
+        own = np.arange(n)
+    order = np.argsort(own, kind="stable")
+    own, v, h = own[order], v[order], h[order]
+    edge = np.concatenate([np.flatnonzero(np.diff(own, prepend=-1)), [n]])
+    found = []
+    c = 0
+    while c < len(edge) - 1:
+        last = max(c + 1, int(np.searchsorted(edge, edge[c] + 128, "right")) - 1)  # a large class, or some small ones
+        a, b = edge[c], edge[last]
+        start = b if last == c + 1 else a
+        for r in range(a, b, 512):
+            i, j = np.nonzero(v[r : min(r + 512, b)] @ v[start:].T >= least)
+            i, j = i + r, j + start
+            new = (own[i] != own[j]) & (i < j)
+            found.append((i[new], j[new]))
+        c = last
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+    for e in range(t):
+        new = h[i, e] != h[j, e]
+        i, j = i[new], j[new]
+    return order[i], order[j]
+
 
-    Vectors that take no part (see vectors.read) link with nothing; a row with a null id has component null. Rows that
-    repeat an id are one node for components, and each counts as a vector of its own. Vectors must have one width."""
-    spark = table.sparkSession
-    ws = Workspace(spark, "pstable")
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    ws = Workspace(table.sparkSession, "pstable")
     every = ws.save(read(table, id_col, vec_col))
-    rows = every.where("vec is not null")
-    head = rows.agg(F.count("*").alias("n"), F.max(F.length("vec")).alias("w"), F.min(F.length("vec")).alias("v")).first()
     alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
-    if not head.n:
+    total, size = common_width(every)
+    if not total:
         return every.select("vec_id", *alone)
-    if head.w != head.v:
-        raise ValueError("vectors differ in width")
-    width = head.w // component_bytes(table, vec_col)
+    usable = F.coalesce(F.length("vec") == size, F.lit(False))
+    rows = every.where(usable)
+    width = size // component_bytes(table, vec_col)
     points = ws.save(rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     k = projections(points.count())
     count = tables(k, threshold)
@@ -97,7 +131,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
             yield tk.batch(each, rep=np.repeat(np.asarray(b.column(0)), count), t=t, bucket=h.ravel().astype(np.int64))
 
     posts = arrow_pass(signed.select("rep", "b"), post, "rep long, t int, bucket long")
-    sizes = posts.groupBy("t", "bucket").count().where("count > 1")
+    members = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(38,0)")).alias(f"set{i}") for i in (0, 1)]
+    sizes = posts.groupBy("t", "bucket").agg(F.count("*").alias("count"), *members).where("count > 1")
+    sizes = sizes.groupBy("count", "set0", "set1").agg(F.min(F.struct("t", "bucket")).alias("first")).select("first.t", "first.bucket", "count")
     shared = posts.join(sizes, ["t", "bucket"]).withColumn("blocks", F.ceil(F.col("count") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     items = shared.select("t", "bucket", "rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     items = items.select("t", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "block").join(signed, "rep")
@@ -109,16 +145,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
         h = np.frombuffer(b"".join(t.column("b").to_pylist()), "<u4").reshape(-1, count)
         table_no, x, y = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        link = v @ v.T >= threshold - 1e-9
-        link &= (block[:, None] != block[None, :]) if x != y else ~np.eye(len(v), dtype=bool)
-        i, j = np.nonzero(np.triu(link))
+        i, j = _fresh(v, h, table_no, threshold - 1e-9)
+        if x != y:
+            i, j = i[block[i] != block[j]], j[block[i] != block[j]]
         exact = (v[i] * v[j]).sum(axis=1) >= threshold
         i, j = i[exact], j[exact]
-        for e in range(table_no):  # pairs that an earlier table has counted
-            if not len(i):
-                break
-            fresh = h[i, e] != h[j, e]
-            i, j = i[fresh], j[fresh]
         n = np.bincount(i, weight[j], len(v)).astype(np.int64) + np.bincount(j, weight[i], len(v)).astype(np.int64)
         link = np.zeros((len(v), len(v)), bool)
         link[i, j] = link[j, i] = True
@@ -130,8 +161,10 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
 
     found = ws.save(items.groupBy("t", "bucket", "x", "y").applyInArrow(compare, "rep long, n long, other long"))
     counts = found.where("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
+    ws.drop(signed)
     comp = components(ws, found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     tops = points.join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
     tops = ws.save(tops.select("vec", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component_id")))
+    ws.drop(points, found)
     linked = rows.join(tops, "vec").select("vec_id", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return linked.union(every.where("vec is null").select("vec_id", *alone))
+    return linked.union(every.where(~usable).select("vec_id", *alone))

@@ -36,6 +36,12 @@ def read(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return arrow_pass(src, run, "vec_id long, vec binary")
 
 
+def common_width(rows: DataFrame) -> tuple[int, int]:
+    """Of rows of read(): how many have the most frequent length of vec (ties: the smaller), and that length; (0, 0) for none."""
+    kinds = rows.where("vec is not null").groupBy(F.length("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    return (kinds["count"], kinds["w"]) if kinds else (0, 0)
+
+
 def matrix(col, width: int) -> np.ndarray:
     """The rows of a binary column (or list of bytes) as a matrix of 64-bit floats."""
     rows = col if isinstance(col, list) else col.to_pylist()

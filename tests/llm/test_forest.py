@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from quire.llm import forest
 from tests.llm.test_near import VECS, usable, vector_rows
@@ -56,5 +55,25 @@ def test_ties_and_few(spark):
     assert sorted(search(spark, rows[:3]))[-1]["rank"] == 2
     assert search(spark, []) == []
     assert search(spark, rows[1:5]) == []
-    with pytest.raises(ValueError, match="width"):
-        search(spark, [(1, [1.0], 0, "", ""), (2, [1.0, 2.0], 0, "", "")])
+    odd = [(0, [1.0, 2.0], 0, "", ""), (1, [1.0], 0, "", ""), (2, [1.0, 3.0], 0, "", ""), (100, [1.0, 2.0, 3.0], 0, "", "")]
+    assert [(r.query_id, r.vec_id) for r in search(spark, odd)] == [(0, 2)]
+
+
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 8))
+    rows = [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]
+    rows += [(7, (x[0] + 1e-3).tolist(), 0, "", "")] * 20 + [(0, (x[0] + 1e-4 * i).tolist(), 0, "", "") for i in range(1, 15)]
+    got = [r for r in search(spark, rows, every=400)]
+    assert len([r for r in got if r["rank"] == 10]) == 1 and sum(r.vec_id == 7 and r.score < 0.01 for r in got) == 1 and all(r.vec_id for r in got)
+
+
+def test_dense_groups_are_grids(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK", 64)
+    monkeypatch.setattr(forest, "QUERIES", 8)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((40, 16)), 50, axis=0) + 0.01 * rng.standard_normal((2000, 16))
+    rows = [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]
+    want = exact(rows, 10, 10)
+    hits = search(spark, rows, every=10)
+    assert len(hits) == 2000 and sum((r.vec_id in {i for _, i in want[r.query_id]}) for r in hits) / 2000 >= 0.9

@@ -162,5 +162,34 @@ def test_no_vectors(spark):
     empty = spark.createDataFrame([], VECS)
     assert pstable.near_duplicates(empty).count() == 0
     assert [tuple(r) for r in pstable.near_duplicates(spark.createDataFrame([(5, None, 1, "", "")], VECS)).collect()] == [(5, 0, 5, True)]
-    with pytest.raises(ValueError, match="width"):
-        pstable.near_duplicates(spark.createDataFrame([(1, [1.0], 1, "", ""), (2, [1.0, 2.0], 1, "", "")], VECS))
+    odd = [(1, [1.0, 2.0], 1, "", ""), (2, [1.0], 1, "", ""), (3, [2.0, 4.0], 1, "", ""), (4, [1.0, 2.0, 0.0], 1, "", "")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pstable.near_duplicates(spark.createDataFrame(odd, VECS)).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
+
+
+def test_fresh_pairs():
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((700, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    h = rng.integers(0, 5, (700, 6)).astype(np.uint32)
+    h[:400, 2] = 9  # a large class
+    for t in (0, 1, 4):
+        near = np.triu(v @ v.T >= 0.8, 1)
+        for e in range(t):
+            near &= h[:, e][:, None] != h[:, e][None, :]
+        i, j = pstable._fresh(v, h, t, 0.8)
+        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+
+
+@pytest.mark.parametrize(("n", "k"), [(50_000, 9), (1_000_000, 13), (100_000_000, 20)])
+def test_recall_at_the_threshold_as_tables_grow(n, k):
+    """Measured on 2000 pairs at cosine 0.9: the share that meets in some table, for the projections of each size."""
+    assert pstable.projections(n) == k
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal((2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    count = pstable.tables(k, 0.9)
+    met = (pstable.buckets(a, k, count) == pstable.buckets(b, k, count)).any(axis=1).mean()
+    assert met >= 0.99
