@@ -69,9 +69,10 @@ def buckets(unit: np.ndarray, k: int, count: int) -> np.ndarray:
 def _fresh(v: np.ndarray, h: np.ndarray, t: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of unit rows with a product of at least `least` that share a bucket in none of the tables before t.
 
-    Rows are taken in classes, by the earlier table that puts most of them together; rows of one class are not multiplied."""
+    Many rows are taken in classes, by the earlier table that puts most of them together; rows of one class are not
+    multiplied."""
     n = len(v)
-    if t:
+    if t and n > 256:
         own = [np.unique(h[:, e], return_inverse=True)[1] for e in range(t)]
         own = own[int(np.argmin([x.max() for x in own]))]
     else:
