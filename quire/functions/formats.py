@@ -51,14 +51,32 @@ def media_type(name: Column) -> Column:
     return F.concat(F.lit("image/"), F.when(ext == "webp", F.lit("webp")).otherwise(ext))
 
 
+def format_event_line(phase: Column, message: Column, total: Column, percent: Column, elapsed: Column) -> Column:
+    """The variant for terminals: seconds since the start, and no bar as long as nothing is done."""
+    blocks = F.rpad(F.repeat(F.lit("█"), F.rint(percent / 5).cast("int")), 20, " ")
+    known = (F.coalesce(total, F.lit(0)) != 0) & (F.coalesce(percent, F.lit(0.0)) != 0)
+    bar = F.when(known, F.concat(F.lit(" ["), blocks, F.lit("] "), F.lpad(F.format_string("%.1f", percent), 5, " "), F.lit("%"))).otherwise("")
+    return F.concat(F.lit("["), F.rpad(F.upper(phase), 10, " "), F.lit("] t="), F.lpad(F.format_string("%.1f", elapsed), 6, " "), F.lit("s"), bar, F.lit(" "), message)
+
+
 def speed(done: Column, elapsed: Column) -> Column:
     return done / F.greatest(elapsed, F.lit(0.001))
 
 
+def eta(done: Column, total: Column, elapsed: Column) -> Column:
+    """Seconds that the rest takes at the speed so far; 0 without a total or a speed."""
+    own = speed(done, elapsed)
+    return F.when((total > 0) & (own > 0), (total - done) / own).otherwise(0.0)
+
+
+# The phases of a download that show progress of their own.
+DOWNLOAD, VERIFY = "download_wheel", "verify"
+
+
 def progress_percent(phase: Column, done: Column, total: Column) -> Column:
-    """0 to 100; phases other than the download show 100 when done, 0 on error, else 50."""
-    own = F.when(total > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), done * 100.0 / total))).otherwise(0.0)
-    return F.when(phase == "download", own).when(phase == "done", 100.0).when(phase == "error", 0.0).otherwise(50.0)
+    """0 to 100: the share of a download (null while its total is unknown), 100 when done, 50 while verifying, else 0."""
+    own = F.when(total > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), done * 100.0 / total)))
+    return F.when(phase == DOWNLOAD, own).when(phase == "done", 100.0).when(phase == VERIFY, 50.0).otherwise(0.0)
 
 
 def resolve_device(asked: Column, free_gb: Column, least_gb: float = 8.0) -> Column:

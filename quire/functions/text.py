@@ -64,7 +64,7 @@ IMAGE_STYLE = "max-width:100%; height:auto; display:block; margin:1em auto;"
 
 def responsive_images(c: Column) -> Column:
     """Adds IMAGE_STYLE to images that have no maximal width yet, and closes their tags."""
-    return F.regexp_replace(c, r"<img(?![^>]*max-width:100%)([^>]*?)\s*/?>", f'<img $1 style="{IMAGE_STYLE}" />')
+    return F.regexp_replace(c, r"<img(?![^>]*max-width:100%)([^>]*?)\s*(?:/\s*)?>", f'<img $1 style="{IMAGE_STYLE}" />')
 
 
 def chapter_title(html: Column, title: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import chapters, formats, markup, text
+from quire.functions import chapters, formats, geometry, markup, text
+from quire.functions.bind import let
 from quire.functions.chapters import PAGE_BREAK
 
 SEPARATOR = f"\n\n{PAGE_BREAK}\n\n"
@@ -27,11 +30,25 @@ def batches(pages: DataFrame, pages_per_batch: int = 20) -> DataFrame:
     return out.withColumn("percent", F.col("batch_end") * 100.0 / F.col("total"))
 
 
+def _parts(raw: Column) -> Column:
+    """The segments of a raw batch text, without a blank first one."""
+    blank = lambda p: text.strip(F.get(p, F.lit(0))) == ""
+    return let(F.split(text.strip(raw), PAGE_TAG, -1), lambda p: F.when(blank(p), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
+
+
 def segments(texts: DataFrame) -> DataFrame:
     """(keys.., idx, segment) of raw batch texts (column raw_text), without a blank first segment."""
-    parts = F.split(text.strip(F.col("raw_text")), PAGE_TAG, -1)
-    kept = F.when(text.strip(F.get(parts, F.lit(0))) == "", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    return texts.select(*[c for c in texts.columns if c != "raw_text"], F.posexplode(kept).alias("idx", "segment"))
+    return texts.select(*[c for c in texts.columns if c != "raw_text"], F.posexplode(_parts(F.col("raw_text"))).alias("idx", "segment"))
+
+
+def read_batches(placed: DataFrame) -> DataFrame:
+    """Pages in batches (book_id, batch_id, page_num, w, h, raw_text) as one reading of each batch sees them: (book_id, page_num,
+    w, h, segment). The texts of a batch are joined and split again; pages stay beside them, so nothing is joined back."""
+    rows = F.array_sort(F.collect_list(F.struct("page_num", "w", "h", "raw_text")))
+    whole = placed.groupBy("book_id", "batch_id").agg(rows.alias("rows"))
+    whole = whole.select("book_id", "rows", _parts(F.concat(F.lit("<page>"), F.array_join(F.transform("rows", lambda r: r["raw_text"]), "<page>"))).alias("parts"))
+    each = whole.select("book_id", F.posexplode("rows").alias("i", "r"), "parts")
+    return each.select("book_id", "r.page_num", "r.w", "r.h", F.coalesce(F.get("parts", F.col("i")), F.lit("")).alias("segment"))
 
 
 def join_segments(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -45,10 +62,10 @@ def page_markdown(c: Column, page_num: Column, w: Column, h: Column, ext: str =
     return text.strip_placeholders(markup.rewrite_tags(markup.wrap_layout(c), page_num, w, h, ext))
 
 
-def assemble(pages: DataFrame, md: str = "md") -> DataFrame:
-    """(book_id, n_pages, markdown): pages in order, joined by page breaks. One shuffle, on the book."""
+def assemble(pages: DataFrame, md: str = "md", extra: Sequence[Column] = ()) -> DataFrame:
+    """(book_id, n_pages, extra.., markdown): pages in order, joined by page breaks. One shuffle, on the book."""
     rows = F.array_sort(F.collect_list(F.struct("page_num", F.col(md).alias("md"))))
-    return pages.groupBy("book_id").agg(F.count("*").alias("n_pages"), F.array_join(F.transform(rows, lambda r: r["md"]), SEPARATOR).alias("markdown"))
+    return pages.groupBy("book_id").agg(F.count("*").alias("n_pages"), *extra, F.array_join(F.transform(rows, lambda r: r["md"]), SEPARATOR).alias("markdown"))
 
 
 def explode_chapters(books: DataFrame, split: Column) -> DataFrame:
@@ -92,11 +109,41 @@ def spine(found: DataFrame) -> DataFrame:
     return _listing(found, item, "chapter_no", "\n    ", "spine")
 
 
-def nav_document(lists: DataFrame) -> DataFrame:
-    """(book_id, content) of the navigation document from (book_id, toc)."""
-    head = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>'
-    mid = " — Indice</title></head>\n<body>\n<nav epub:type=\"toc\" id=\"toc\">\n<h1>Indice</h1>\n<ol id=\"toc-list\">\n"
-    return lists.select("book_id", F.concat(F.lit(head), text.xml_escape(F.col("book_id")), F.lit(mid), "toc", F.lit("\n</ol>\n</nav>\n</body>\n</html>")).alias("content"))
+def nav_document(lists: DataFrame, heading: str = "Contents") -> DataFrame:
+    """(book_id, content) of the navigation document from (book_id, toc) and, if there, the title of each book."""
+    title = text.xml_escape(F.col("title" if "title" in lists.columns else "book_id"))
+    page = (
+        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>', title,
+        '</title><link rel="stylesheet" href="style.css"/></head>\n<body><nav epub:type="toc">\n', f"<h2>{heading}</h2>\n<ol>\n", F.col("toc"), "\n</ol>\n</nav></body>\n</html>",
+    )
+    return lists.select("book_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in page]).alias("content"))
+
+
+def cover_document() -> str:
+    """The page that shows images/cover.webp."""
+    return (
+        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head><title>Cover</title><link rel="stylesheet" href="style.css"/></head>\n'
+        f'<body class="cover"><img src="images/cover.webp" alt="Cover" style="{text.IMAGE_STYLE}" /></body>\n</html>'
+    )
+
+
+def entries(meta: DataFrame, found: DataFrame, images: DataFrame, covers: DataFrame) -> DataFrame:
+    """(book_id, entry_path, text, content) of all that a package holds beside its fixed entries: chapters as Markdown, the
+    navigation and package documents, images and, for books that have one, the cover's page and image.
+
+    meta (book_id, title, author, language); found chapters (see explode_chapters); images and covers (book_id, name,
+    content), a cover's name being any."""
+    none = F.lit(None)
+    pics = images.select("book_id", "name", "content").unionByName(covers.select("book_id", F.lit("cover.webp").alias("name"), "content"))
+    listed = with_cover(found, covers)
+    lists = toc(listed).join(meta, "book_id", "right").withColumn("toc", F.coalesce("toc", F.lit("")))
+    items = F.array_sort(F.collect_list(F.struct("kind", "item")))
+    manifests = manifest(listed, pics).groupBy("book_id").agg(F.array_join(F.transform(items, lambda r: r["item"]), "\n").alias("manifest"))
+    whole = meta.join(manifests, "book_id", "left").join(spine(listed), "book_id", "left").fillna("", ["manifest", "spine"])
+    out = found.select("book_id", F.concat(F.lit("OEBPS/"), F.regexp_replace("filename", r"\.xhtml$", ".md")).alias("entry_path"), F.col("body").alias("text"), none.cast("binary").alias("content"))
+    out = out.union(nav_document(lists).select("book_id", F.lit("OEBPS/nav.xhtml"), "content", none)).union(package_document(whole).select("book_id", F.lit("OEBPS/content.opf"), "content", none))
+    out = out.union(covers.select("book_id", F.lit("OEBPS/cover.xhtml"), F.lit(cover_document()), none))
+    return out.union(pics.select("book_id", F.concat(F.lit("OEBPS/images/"), "name"), none, "content"))
 
 
 def package_document(meta: DataFrame, modified: str = "2026-07-06T00:00:00Z") -> DataFrame:
@@ -125,6 +172,16 @@ def top_by_name(df: DataFrame, n: int = 3) -> DataFrame:
     return df.withColumn("rank", nth).where(F.col("rank") <= n)
 
 
+def cuts(pages: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(book_id, page_num, pos, name, box): the pixel boxes of pages (book_id, page_num, name, w, h) that are large enough to cut
+    out, by lists of boxes (book_id, page_num, boxes) in the model's square; a cut is named after its page and label."""
+    rows = pages.join(boxes, ["book_id", "page_num"]).select("book_id", "page_num", "name", "w", "h", F.posexplode("boxes").alias("pos", "b"))
+    box = geometry.denormalize(F.col("b.x1"), F.col("b.y1"), F.col("b.x2"), F.col("b.y2"), F.col("w"), F.col("h"))
+    label = F.when(F.col("b.label") == "", "_bbox").otherwise(F.concat(F.lit("_bbox_"), "b.label"))
+    name = F.concat(_stem(F.col("name")), label, F.regexp_extract("name", r"\.[^.]*$", 0))
+    return rows.select("book_id", "page_num", F.col("pos").cast("long").alias("pos"), name.alias("name"), box.alias("box")).where(geometry.large_enough(F.col("box")))
+
+
 def existing(images: DataFrame, files: DataFrame) -> DataFrame:
     return images.join(files, ["book_id", "name"], "left_semi")
 
@@ -136,6 +193,16 @@ def missing_shards(index: DataFrame, cached: DataFrame) -> DataFrame:
     return need.groupBy("model").agg(F.count("*").alias("n_shards")).join(lost, "model", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)).cast("long"))
 
 
+def model_status(models: DataFrame, index: DataFrame, cached: DataFrame, config: str = "config.json", single: str = "model.safetensors") -> DataFrame:
+    """(model, ok, message) of models (model) by what is cached (model, shard): without its settings a model is absent; one
+    with an index (model, shard) needs every file of that, any other its single file."""
+    own = cached.groupBy("model").agg(F.bool_or(F.col("shard") == config).alias("has_config"), F.bool_or(F.col("shard") == single).alias("has_single"))
+    known = models.select("model").distinct().join(own, "model", "left").join(missing_shards(index, cached), "model", "left")
+    ready = (F.col("n_missing") == 0) | F.col("has_single")
+    message = F.when(~F.coalesce("has_config", F.lit(False)), "absent").when(F.col("n_missing") > 0, "incomplete").when(ready, "ready").otherwise("absent")
+    return known.select("model", message.alias("message")).select("model", (F.col("message") == "ready").alias("ok"), "message")
+
+
 def with_metadata(found: DataFrame, given: DataFrame, chapter_pages: int | None = None) -> DataFrame:
     """Books (book_id, stem) with what is given for them (book_id, title, author, language, chapter_pages); a book without a
     title takes its stem, chapter_pages given here goes before a book's own."""

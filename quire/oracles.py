@@ -82,14 +82,14 @@ bt as (select *, floor((page_num - 1) / 20)::bigint as batch_id, count(*) over (
 bs as (select *, batch_id * 20 + 1 as batch_start, least(batch_id * 20 + 20, total) as batch_end from bt)"""
 
 SEGMENTED = f"""{BATCHED},
-ra as (select book_id, batch_id, '<page>' || coalesce(string_agg(case when doc_id % 37 <> 5 then 'seg ' || doc_id end, '<PAGE>' order by page_num), '') || case when batch_id % 3 = 1 then '<page>surplus' else '' end as t from bs group by book_id, batch_id),
-sa as (select book_id, batch_id, regexp_split_to_array(t, '(?i)<page>')[2:] as parts from ra),
+ra as (select book_id, batch_id, '<page>' || coalesce(string_agg(case when doc_id % 37 <> 5 then raw_text end, '<PAGE>' order by page_num), '') || case when batch_id % 3 = 1 then '<page>surplus' else '' end as t from bs group by book_id, batch_id),
+sa as (select book_id, batch_id, regexp_split_to_array({strip('t')}, '(?i)<page>')[2:] as parts from ra),
 sg as (select book_id, batch_id, unnest(range(0, len(parts))) as idx, unnest(parts) as segment from sa)"""
 
 BOOKS = f"""
 pg as ({PAGES}),
 pm as (select book_id, page_num, case when doc_id % 29 = 3 then '  ' else case when page_num % 4 = 1 then '# Chapter ' || page_num || ' ' || chr(10) || chr(10)
-  when page_num % 4 = 3 then '## Part ' || page_num || chr(10) || chr(10) else '' end || 'doc ' || doc_id || ' & <co>' end as md from pg),
+  when page_num % 4 = 3 then '## Part ' || page_num || chr(10) || chr(10) else '' end || raw_text end as md from pg),
 bk as (select book_id, count(*) as n_pages, string_agg(md, chr(10) || chr(10) || '<!-- pagebreak -->' || chr(10) || chr(10) order by page_num) as markdown from pm group by book_id)"""
 
 
@@ -132,11 +132,13 @@ def escape(c: str) -> str:
 
 CHUNKS = "select conv_id as stream_id, turn as seq, case when turn % 5 = 4 then '' else text end as chunk from conversations"
 AMOUNTS = "select l_orderkey as k, l_linenumber as n, (l_orderkey * l_partkey * l_suppkey * 8)::double as v from lineitem"
-STALLS = f"select job_id, seq from (select *, lag(ts) over w as before, lag(phase) over w as was from ({LOG}) window w as (partition by job_id order by ts, seq)) where ts > before + interval 10 seconds and was not in ('done', 'error')"
+STALLS = f"select job_id, seq from (select *, coalesce(lead(ts) over (partition by job_id order by ts, seq), max(ts) over ()) as until from ({LOG})) where until > ts + interval 10 seconds and phase not in ('done', 'error')"
 
 WHEELS = "(values (6, 0, 'cu118', '11.8'), (6, 1, 'cu118', '11.8'), (6, 2, 'cu118', '11.8'), (7, 0, 'cu118', '11.8'), (7, 5, 'cu118', '11.8'), (8, 0, 'cu124', '11.8'), (8, 6, 'cu124', '11.8'), (8, 9, 'cu124', '11.8'), (9, 0, 'cu124', '11.8'), (10, 0, 'cu126', '12.6'), (12, 0, 'cu126', '12.6')) w(wm, wn, b, l)"
 
-_bytes = "case " + " ".join(f"when v / {1024.0**i}::double < 1024 then format('{{:,.1f}} {u}', v / {1024.0**i}::double)" for i, u in enumerate(("B", "KB", "MB", "GB", "TB"))) + f" else format('{{:,.1f}} PB', v / {1024.0**5}::double) end"
+def shown(v: str, end: str = "") -> str:
+    return "case " + " ".join(f"when {v} / {1024.0**i}::double < 1024 then format('{{:,.1f}} {u}{end}', {v} / {1024.0**i}::double)" for i, u in enumerate(("B", "KB", "MB", "GB", "TB"))) + f" else format('{{:,.1f}} PB{end}', {v} / {1024.0**5}::double) end"
+
 
 BOOK = f"""{BATCHED},
 w0 as (select doc_id, book_id, page_num, w, h, {wrap(strip('raw_text'))} as t from bs),
@@ -145,6 +147,24 @@ mp as (select book_id, page_num, {placeholders('md')} as md from rw join pg usin
 mk as (select book_id, string_agg(md, chr(10) || chr(10) || '<!-- pagebreak -->' || chr(10) || chr(10) order by page_num) as m from mp group by book_id),
 bk as (select book_id, {clean('m')} as markdown from mk)"""
 
+CHAPTERS_OF_BOOK = f"{BOOK}," + ADAPTIVE.replace(BOOKS, "").lstrip(",")
+
+EVENTS = f"""{SEGMENTED}, k as (select book_id, count(*) as n from kt where label in ('image', 'figure', 'table') and kept and book_id not like '%-0' group by book_id),
+b as (select bs.book_id, max(total) as total, max(batch_id) as last, max(coalesce(k.n, 0)) as crops from bs left join k using (book_id) group by bs.book_id),
+e as (select distinct book_id, batch_id, batch_start, batch_end, total, 'reading pages ' || batch_start || '-' || batch_end || '/' || total as m from bs),
+p as (select book_id, batch_id, part, substr(' ' || t, 1, (part + 1) * 450) as text from ra, (values (0), (1)) v(part)),
+every as (
+  select book_id, 0 as o0, 0 as o1, 0 as o2, 'rendering' as phase, 'rendering' as message, 0 as current, 0 as total, 0.0::double as percent, false as transient from b
+  union all select book_id, 1, 0, 0, 'rendering', 'rendered pages: ' || total, total, total, 100.0, false from b
+  union all select book_id, 2, batch_id, 0, 'ocr', m, batch_start, total, batch_end * 100.0::double / total, false from e
+  union all select e.book_id, 2, e.batch_id, part + 1, 'ocr', m || chr(10) || right(text, 500), batch_start, total, batch_end * 100.0::double / total, true from e join p on p.book_id = e.book_id and p.batch_id = e.batch_id
+  union all select book_id, 3, 0, 0, 'cleaning', 'cleaning text', 0, 0, 0.0, false from b
+  union all select book_id, 4, 0, 0, 'cropping', 'cut images: ' || crops, crops, crops, 100.0, false from b
+  union all select book_id, 5, 0, 0, 'optimizing', 'optimizing images', 0, 0, 0.0, false from b where crops > 0
+  union all select book_id, 6, 0, 0, 'compiling', 'compiling the book', 0, 0, 0.0, false from b
+  union all select book_id, 7, 0, 0, 'done', 'pages done: ' || total, total, total, 100.0, false from b),
+numbered as (select book_id, phase, message, current::bigint as current, total::bigint as total, percent, transient, row_number() over (partition by book_id order by o0, o1, o2) - 1 as seq from every)""".replace("k as (select book_id", f"{tag_rows('pg').strip()}, kt as (select tn.*, pg.book_id from tn join pg using (doc_id)), k as (select book_id", 1)
+
 ORACLES = {
     "clean_text": f"select doc_id, c as cleaned, length(c) as n_chars from (select doc_id, {clean('raw_text')} as c from ({PAGES}))",
     "clean_text_flags": f"select doc_id, {clean('raw_text', False, False)} as plain, {clean('raw_text', False)} as quotes_only from ({PAGES})",
@@ -180,10 +200,16 @@ select doc_id, row_number() over (partition by doc_id order by kind, i) - 1 as p
 union all select book_id, 'image', '<item id="img_' || split_part(name, '.', 1) || '" href="images/' || name || '" media-type="image/' || split_part(name, '.', 2) || '"/>' from im""",
     "xml_escape": f"select page_id, {escape('html')} as escaped from pages",
     "responsive_images": """select page_id, replace(html, '<body>', '<body><img  src="a.png" style="max-width:100%; height:auto; display:block; margin:1em auto;" /><img  src=''b.png'' style="max-width:100%; height:auto; display:block; margin:1em auto;" /><img style="max-width:100%" src="c.png">') as html from pages""",
-    "result_summary": f"""with pg as ({PAGES}),{tag_rows('pg')}, k as (select doc_id, count(*) as kept from tn where label in ('image', 'figure', 'table') and kept group by doc_id)
-select book_id, count(*) as pages_processed, sum(coalesce(kept, 0))::bigint as images_extracted, sum(length(raw_text))::bigint as markdown_chars, sum(greatest(1, (length(raw_text) - length(replace(raw_text, '<page>', ''))) // 6))::bigint as separators from pg left join k using (doc_id) group by book_id""",
+    "result_summary": f"""with {BOOK}, k as (select book_id, count(*) as n from tn join pg using (doc_id) where label in ('image', 'figure', 'table') and kept group by book_id), n as (select book_id, count(*) as pages from pg group by book_id)
+select book_id, pages as pages_processed, coalesce(k.n, 0) as images_extracted, coalesce(k.n, 0) as images_used, length(markdown) as markdown_chars from n join bk using (book_id) left join k using (book_id)""",
+    "page_separators": f"with {SEGMENTED} select book_id, batch_id, greatest(1, (length(t) - length(replace(t, '<page>', ''))) // 6)::bigint as separators from ra",
     "token_stream_prefix": f"select stream_id, seq, t as text, right(t, 500) as tail from (select stream_id, seq, string_agg(chunk, '') over (partition by stream_id order by seq rows between unbounded preceding and current row) as t from ({CHUNKS}) where chunk <> '')",
     "token_stream_final": f"select stream_id, string_agg(chunk, '' order by seq) as text from ({CHUNKS}) group by stream_id",
+    "token_status": f"""with c as ({CHUNKS}), r as (select stream_id, seq, string_agg(chunk, '') over (partition by stream_id order by seq rows between unbounded preceding and current row) as text from c where chunk <> ''),
+s as (select distinct stream_id + i as stream_id from c, (values (0), (1000000)) v(i)), w as (select stream_id, max(seq) as last, string_agg(chunk, '' order by seq) as text from c group by stream_id)
+select stream_id, seq, text, 'running' as status from r union all select stream_id, coalesce(last, -1) + 1, coalesce(text, ''), 'done' from s left join w using (stream_id)""",
+    "token_result": f"""with c as ({CHUNKS}), s as (select distinct stream_id + i as stream_id from c, (values (0), (1000000)) v(i)), w as (select stream_id, string_agg(chunk, '' order by seq) as t from c group by stream_id)
+select stream_id, {placeholders("coalesce(t, '')")} as text from s left join w using (stream_id)""",
     "token_stream": f"select stream_id, seq, length(t)::bigint as n_chars, right(t, 500) as tail from (select stream_id, seq, string_agg(chunk, '') over (partition by stream_id order by seq rows between unbounded preceding and current row) as t from ({CHUNKS}) where chunk <> '')",
     "latest_state": f"select job_id, phase, message, percent, n_events from (select *, row_number() over (partition by job_id order by ts desc, seq desc) as r, count(*) over (partition by job_id) as n_events from ({LOG})) where r = 1",
     "phase_coverage": f"select job_id, string_agg(distinct phase, ',' order by phase) as phases from ({LOG}) group by job_id",
@@ -193,7 +219,7 @@ select book_id, count(*) as pages_processed, sum(coalesce(kept, 0))::bigint as i
     "transient_filter": f"select job_id, seq, phase from ({LOG}) where not transient",
     "format_event": f"select seq, '[' || rpad(upper(phase), 10, ' ') || ']' || case when total <> 0 then ' [' || rpad(repeat('█', round_even(percent / 5, 0)::int), 20, ' ') || '] ' || lpad(printf('%.1f', percent), 5, ' ') || '%' else '' end || ' ' || message as line from ({LOG})",
     "state_json_defaults": f"select seq, case when seq % 4 > 1 then phase else 'init' end as phase, '' as message, case when seq % 4 > 1 then seq else 0 end::bigint as downloaded_bytes, 0::bigint as total_bytes, case when seq % 4 > 1 then 1.5 else 0 end::double as speed_bps, 0.0::double as eta_seconds, 0.0::double as updated_at from ({LOG})",
-    "progress_percent": f"select seq, case seq % 5 when 0 then 100.0 when 1 then 0.0 when 2 then 50.0 else case when total > 0 then least(100.0::double, percent * 100 / total) else 0 end end::double as shown from ({LOG})",
+    "progress_percent": f"select seq, case seq % 5 when 0 then 100.0 when 1 then 0.0 when 2 then 50.0 when 3 then 0.0 else case when total > 0 then least(100.0::double, percent * 100 / total) end end::double as shown from ({LOG})",
     "wheel_asof": f"""with d as (select distinct (l_partkey % 14)::int as major, (l_suppkey % 10)::int as minor, (l_linenumber + 8)::int as driver_major from lineitem),
 j as (select d.*, b, l, row_number() over (partition by major, minor, driver_major order by case when wm = major and wn = minor then 0 else 1 end, wm, wn) as r from d left join {WHEELS} on wm >= major),
 c as (select *, coalesce(b, 'cpu') as q from j where r = 1)
@@ -201,11 +227,20 @@ select major || '/' || minor || '/' || driver_major as device, major, minor, dri
   case when q = 'cu118' and driver_major < 11 then '0' when q = 'cu124' and driver_major < 12 then '11.8' when q = 'cu126' and driver_major < 12 then '12.4' else coalesce(l, '') end as least_driver from c""",
     "parse_devices": "select distinct 'GPU ' || l_suppkey as name, '5' || l_partkey % 50 as driver, case when l_linenumber <> 1 then (l_partkey % 14)::int end as major, case when l_linenumber <> 1 then (l_suppkey % 10)::int end as minor from lineitem",
     "first_cached": f"select book_id as folder, min(name) as name from ({IMAGES}) where name like 'page%.webp' group by book_id",
-    "run_events": f"""with {BATCHED}, b as (select book_id, max(total) as total, max(batch_id) as last from bs group by book_id),
-e as (select distinct book_id, batch_id, batch_start, total, batch_end from bs)
-select book_id, 0::bigint as seq, 'rendering' as phase, 0::bigint as current, total, 0.0::double as percent from b union all select book_id, 1, 'rendering', total, total, 100.0 from b
-union all select book_id, batch_id + 2, 'ocr', batch_start, total, batch_end * 100.0::double / total from e
-union all select book_id, last + 3 + i, p, total, total, 100.0 from b, (values (0, 'cleaning'), (1, 'cropping'), (2, 'optimizing'), (3, 'compiling'), (4, 'done')) v(i, p)""",
+    "run_events": f"with {EVENTS} select * from numbered",
+    "run_result": f"with {EVENTS}, fin as (select * from numbered where phase = 'done' and total % 3 > 0) select b.book_id, fin.total as pages, fin.message from b left join fin using (book_id)",
+    "format_event_line": f"select seq, '[' || rpad(upper(phase), 10, ' ') || '] t=' || lpad(printf('%.1f', (seq % 4000)::double), 6, ' ') || 's' || case when total <> 0 and percent <> 0 then ' [' || rpad(repeat('█', round_even(percent / 5, 0)::int), 20, ' ') || '] ' || lpad(printf('%.1f', percent), 5, ' ') || '%' else '' end || ' ' || message as line from ({LOG})",
+    "model_status": f"""with f as (select book_id as model, 'shard' || doc_id % 9 as shard, doc_id, page_num from ({PAGES})), i as (select distinct model, shard from f where doc_id % 1000 < 500 and model like 'src1%'),
+h as (select distinct model, shard from f where doc_id % 7 > 0 or doc_id % 2 = 0), m as (select distinct model from f), l as (select i.model, count(*) - count(h.shard) as lost from i left join h on h.model = i.model and h.shard = i.shard group by i.model),
+c as (select model from f where page_num = 1 and doc_id % 5 > 0), o as (select model from f where page_num = 1 and doc_id % 3 > 0),
+x as (select model, case when model not in (select model from c) then 'absent' when lost > 0 then 'incomplete' when lost = 0 or model in (select model from o) then 'ready' else 'absent' end as message from m left join l using (model))
+select model, message = 'ready' as ok, message from x""",
+    "cut_boxes": f"""with pg as ({PAGES}),{tag_rows('pg')},
+bg as (select doc_id, w, h, unnest(regexp_extract_all(raw_text, '{BBOX}')) as tag, unnest(range(1, len(regexp_extract_all(raw_text, '{BBOX}')) + 1)) as i from pg),
+u as (select doc_id, w, h, 0 as kind, i, label, x1, y1, x2, y2 from tp union all
+  select doc_id, w, h, 1, i, coalesce(regexp_extract(tag, '{BBOX}', 5), ''), regexp_extract(tag, '{BBOX}', 1)::bigint, regexp_extract(tag, '{BBOX}', 2)::bigint, regexp_extract(tag, '{BBOX}', 3)::bigint, regexp_extract(tag, '{BBOX}', 4)::bigint from bg),
+v as (select doc_id, label, row_number() over (partition by doc_id order by kind, i) - 1 as pos, {', '.join(f'{x} as b_{k}' for k, x in BOX.items())} from u)
+select book_id, page_num::int as page_num, pos, 'page' || lpad(page_num::varchar, 4, '0') || '_bbox' || case when label <> '' then '_' || label else '' end || '.png' as name, {', '.join(f'b_{k} as "{k}"' for k in BOX)} from v join pg using (doc_id) where b_right - b_left >= 32 and b_lower - b_upper >= 32""",
     "book_metadata": f"""with pg as ({PAGES}), g as (select book_id, case when doc_id % 3 = 2 then 'Title ' || doc_id end as title, (doc_id % 9)::int as chapter_pages from pg where page_num = 1 and doc_id % 3 > 0)
 select b.book_id, coalesce(title, 'file ' || b.book_id) as title, case when g.book_id is null then 'Unknown' else 'A. Author' end as author, 'it' as language, chapter_pages from (select distinct book_id from pg) b left join g using (book_id)""",
     "carried_state": f"select job_id, max_by(percent, struct_pack(ts := ts, seq := seq)) filter (phase = 'view') as shown, max_by(seq, struct_pack(ts := ts, seq := seq)) filter (phase = 'purchase') as bought from ({LOG}) group by job_id",
@@ -218,8 +253,14 @@ bg as (select doc_id, page_num, unnest(regexp_extract_all(raw_text, '{BBOX}')) a
 u as (select doc_id, 0 as kind, i, label from tp union all select doc_id, 1, i, coalesce(regexp_extract(tag, '{BBOX}', 5), '') from bg),
 v as (select doc_id, label, row_number() over (partition by doc_id order by kind, i) - 1 as pos from u)
 select book_id, page_num::int as page_num, pos, 'page' || page_num || '_' || case when label = '' then 'asset' || lpad(pos::varchar, 2, '0') else label end || '.png' as name from v join pg using (doc_id)""",
-    "human_bytes": f"select k, n, {_bytes} as shown from (select k, n, floor(v / 1024) * 1024 as v from ({AMOUNTS}))",
+    "human_bytes": f"select k, n, {shown('v')} as shown from (select k, n, floor(v / 1024) * 1024 as v from ({AMOUNTS}))",
+    "human_speed": f"select k, n, {shown('v', '/s')} as shown from (select k, n, v / 7 as v from ({AMOUNTS}))",
+    "download_eta": f"select k, n, d / greatest(e, 0.001::double) as speed, case when t > 0 and d > 0 then (t - d) / (d / greatest(e, 0.001::double)) else 0 end::double as eta from (select k, n, n::double * 64 as d, (k % 9)::double * 1024 as t, (k % 5)::double as e from ({AMOUNTS}))",
     "format_eta": f"select k, n, case when s <= 0 then '—' when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm ' || lpad((s % 60)::varchar, 2, '0') || 's' else (s // 3600) || 'h ' || lpad((s // 60 % 60)::varchar, 2, '0') || 'm' end as shown from (select k, n, ((v::bigint) % 200000) - 100 as s from ({AMOUNTS}))",
     "device_and_window": f"select k, n, case when k % 3 = 0 then 'cpu' when k % 17 >= 8 then 'cuda' else 'cpu' end as device, case when n > 1 then 1024 else 128 end::bigint as ngrams, case when k % 4 = 0 then 0 else n / (k % 4)::double end::double as ratio from ({AMOUNTS})",
-    "book_toc": f"with {BOOK}," + ADAPTIVE.replace(BOOKS, "").lstrip(",") + " select book_id, pos::bigint as chapter_no, 'chap_' || lpad(pos::varchar, 4, '0') || '.xhtml' as filename, case when title = '' then 'Pagina ' || (pos + 1) else title end as title, length(body) as n_chars from ch",
+    "epub_entries": f"""with {CHAPTERS_OF_BOOK}, cv as (select book_id from pg where page_num = 1 and w % 2 = 0), al as (select distinct book_id from pg)
+select book_id, 'OEBPS/chap_' || lpad(pos::varchar, 4, '0') || '.md' as entry_path, null::bigint as n_bytes from ch union all select book_id, 'OEBPS/' || f, null from al, (values ('nav.xhtml'), ('content.opf')) v(f)
+union all select book_id, 'OEBPS/images/' || stem || number || '.webp', length(stem || number) + 5 from tn join pg using (doc_id) where label in ('image', 'figure', 'table') and kept
+union all select book_id, 'OEBPS/cover.xhtml', null from cv union all select book_id, 'OEBPS/images/cover.webp', length(book_id) from cv""",
+    "book_toc": f"with {CHAPTERS_OF_BOOK}" + " select book_id, pos::bigint as chapter_no, 'chap_' || lpad(pos::varchar, 4, '0') || '.xhtml' as filename, case when title = '' then 'Pagina ' || (pos + 1) else title end as title, length(body) as n_chars from ch",
 }

@@ -100,8 +100,8 @@ def batch_pages(spark, d):
 
 def _raw_batches(spark, d):
     """Batches with a segment too many or some missing."""
-    placed = books.batches(fixtures.pages(spark, d).drop("raw_text"))
-    rows = F.array_sort(F.collect_list(F.when(C("doc_id") % 37 != 5, F.struct("page_num", F.concat(F.lit("seg "), C("doc_id").cast("string")).alias("t")))))
+    placed = books.batches(fixtures.pages(spark, d))
+    rows = F.array_sort(F.collect_list(F.when(C("doc_id") % 37 != 5, F.struct("page_num", C("raw_text").alias("t")))))
     joined = F.array_join(F.transform(rows, lambda r: r["t"]), "<PAGE>")
     extra = F.when(C("batch_id") % 3 == 1, F.lit("<page>surplus")).otherwise("")
     return placed, placed.groupBy("book_id", "batch_id").agg(F.concat(F.lit(" <page>"), joined, extra).alias("raw_text"))
@@ -115,7 +115,7 @@ def split_pages(spark, d):
 @query
 def page_segment_join(spark, d):
     placed, raw = _raw_batches(spark, d)
-    return books.join_segments(placed, books.segments(raw)).select("doc_id", "segment")
+    return books.join_segments(placed.drop("raw_text"), books.segments(raw)).select("doc_id", "segment")
 
 
 @query
@@ -140,9 +140,9 @@ def page_markdown(spark, d):
 
 
 def _books(spark, d):
-    """Books of plain pages with headings."""
+    """Books of pages with headings before their whole texts."""
     head = F.when(C("page_num") % 4 == 1, F.concat(F.lit("# Chapter "), C("page_num").cast("string"), F.lit(" \n\n"))).when(C("page_num") % 4 == 3, F.concat(F.lit("## Part "), C("page_num").cast("string"), F.lit("\n\n"))).otherwise("")
-    body = F.when(C("doc_id") % 29 == 3, F.lit("  ")).otherwise(F.concat(head, F.lit("doc "), C("doc_id").cast("string"), F.lit(" & <co>")))
+    body = F.when(C("doc_id") % 29 == 3, F.lit("  ")).otherwise(F.concat(head, C("raw_text")))
     return books.assemble(fixtures.pages(spark, d).withColumn("md", body))
 
 
@@ -218,11 +218,12 @@ def responsive_images(spark, d):
 
 @query
 def result_summary(spark, d):
-    pages = fixtures.pages(spark, d).withColumn("a", markup.assets(C("raw_text"), C("page_num"), C("w"), C("h")))
-    return pages.groupBy("book_id").agg(
-        F.count("*").alias("pages_processed"), F.sum(F.size(F.filter("a", lambda x: x["kept"]))).cast("long").alias("images_extracted"),
-        F.sum(F.char_length("raw_text")).cast("long").alias("markdown_chars"), F.sum(text.page_separators(C("raw_text"))).cast("long").alias("separators"),
-    )
+    return book.summary(fixtures.pages(spark, d))
+
+
+@query
+def page_separators(spark, d):
+    return _raw_batches(spark, d)[1].select("book_id", "batch_id", text.page_separators(C("raw_text")).alias("separators"))
 
 
 def _chunks(spark, d):
@@ -239,6 +240,22 @@ def token_stream_final(spark, d):
     return progress.final(_chunks(spark, d))
 
 
+def _statuses(spark, d):
+    """All streams, and as many again that say nothing."""
+    said = _chunks(spark, d)
+    return progress.statuses(said.select("stream_id").union(said.select(C("stream_id") + 1_000_000)), said)
+
+
+@query
+def token_status(spark, d):
+    return _statuses(spark, d)
+
+
+@query
+def token_result(spark, d):
+    return progress.readings(_statuses(spark, d))
+
+
 @query
 def token_stream(spark, d):
     src = spark.readStream.schema(_read(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet*")
@@ -269,7 +286,7 @@ def stall_watchdog(spark, d):
 @query
 def stall_stream(spark, d):
     src = spark.readStream.schema(_read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    log = src.select(C("user_id").alias("job_id"), C("event_id").alias("seq"), F.unix_micros(C("ts").cast("timestamp")).alias("us"), C("event_type").alias("phase"))
+    log = src.select(C("user_id").alias("job_id"), C("event_id").alias("seq"), C("ts").cast("timestamp").alias("ts"), C("event_type").alias("phase"))
     return tokens.drain(tokens.stalls(log), "stalls")
 
 
@@ -291,7 +308,7 @@ def state_json_defaults(spark, d):
 
 @query
 def progress_percent(spark, d):
-    phase = F.when(C("seq") % 5 == 0, "done").when(C("seq") % 5 == 1, "error").when(C("seq") % 5 == 2, "install").otherwise("download")
+    phase = F.when(C("seq") % 5 == 0, "done").when(C("seq") % 5 == 1, "error").when(C("seq") % 5 == 2, "verify").when(C("seq") % 5 == 3, "extract").otherwise("download_wheel")
     return fixtures.log(spark, d).select("seq", formats.progress_percent(phase, C("percent"), C("total")).alias("shown"))
 
 
@@ -313,9 +330,45 @@ def first_cached(spark, d):
     return wheels.first_cached(_images(spark, d).select(C("book_id").alias("folder"), "name"), "page%.webp")
 
 
+def _events(spark, d):
+    pages = fixtures.pages(spark, d)
+    kept = F.size(F.filter(markup.assets(C("raw_text"), C("page_num"), C("w"), C("h")), lambda x: x["kept"]))
+    crops = pages.where("book_id not like '%-0'").groupBy("book_id").agg(F.sum(kept).alias("crops"))  # some books have none
+    partial = _raw_batches(spark, d)[1].select("book_id", "batch_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("part"), "raw_text")
+    partial = partial.select("book_id", "batch_id", "part", F.substring(C("raw_text"), F.lit(1), (C("part") + 1) * 450).alias("text"))
+    return progress.run_events(books.batches(pages.drop("raw_text")), crops, partial=partial)
+
+
 @query
 def run_events(spark, d):
-    return progress.run_events(books.batches(fixtures.pages(spark, d)))
+    return _events(spark, d)
+
+
+@query
+def run_result(spark, d):
+    return progress.results(_events(spark, d).where("phase <> 'done' or total % 3 > 0"), strict=False)
+
+
+@query
+def format_event_line(spark, d):
+    line = formats.format_event_line(C("phase"), C("message"), C("total"), C("percent"), (C("seq") % 4000).cast("double"))
+    return fixtures.log(spark, d).select("seq", line.alias("line"))
+
+
+@query
+def model_status(spark, d):
+    files = fixtures.pages(spark, d).select(C("book_id").alias("model"), F.concat(F.lit("shard"), (C("doc_id") % 9).cast("string")).alias("shard"), "doc_id", "page_num")
+    index = files.where("doc_id % 1000 < 500 and model like 'src1%'").select("model", "shard")
+    config = files.where("page_num = 1 and doc_id % 5 > 0").select("model", F.lit("config.json"))
+    single = files.where("page_num = 1 and doc_id % 3 > 0").select("model", F.lit("model.safetensors"))
+    return books.model_status(files, index, files.where("doc_id % 7 > 0 or doc_id % 2 = 0").select("model", "shard").union(config).union(single))
+
+
+@query
+def cut_boxes(spark, d):
+    pages = fixtures.pages(spark, d).withColumn("name", F.concat(F.lit("page"), F.lpad(C("page_num").cast("string"), 4, "0"), F.lit(".png")))
+    found = books.cuts(pages.select("book_id", "page_num", "name", "w", "h"), pages.select("book_id", "page_num", markup.tags(C("raw_text")).alias("boxes")))
+    return found.select("book_id", "page_num", "pos", "name", "box.*")
 
 
 @query
@@ -369,6 +422,17 @@ def human_bytes(spark, d):
     return _amounts(spark, d).select("k", "n", formats.human_bytes(F.floor(C("v") / 1024) * 1024).alias("shown"))
 
 
+@query
+def human_speed(spark, d):
+    return _amounts(spark, d).select("k", "n", formats.human_speed(C("v") / 7).alias("shown"))
+
+
+@query
+def download_eta(spark, d):
+    done, total, elapsed = C("n").cast("double") * 64, (C("k") % 9).cast("double") * 1024, (C("k") % 5).cast("double")
+    return _amounts(spark, d).select("k", "n", formats.speed(done, elapsed).alias("speed"), formats.eta(done, total, elapsed).alias("eta"))
+
+
 @query
 def format_eta(spark, d):
     return _amounts(spark, d).select("k", "n", formats.format_eta((C("v") % 200000) - 100).alias("shown"))
@@ -386,16 +450,22 @@ def book_toc(spark, d):
     return flagship(spark, d)
 
 
+def _entries(spark, d):
+    """Package entries; the bytes of an image are made of its name, as the test tables hold no images."""
+    pages = fixtures.pages(spark, d)
+    found = books.explode_chapters(book.markdown(pages), chapters.adaptive(C("cleaned")))
+    pics = pages.select("book_id", F.explode(markup.assets(markup.wrap_layout(C("raw_text")), C("page_num"), C("w"), C("h"))).alias("a")).where("a.kept")
+    covers = pages.where("page_num = 1 and w % 2 = 0").select("book_id", F.encode("book_id", "UTF-8").alias("content"))
+    meta = pages.select("book_id").distinct().select("book_id", C("book_id").alias("title"), F.lit("Unknown").alias("author"), F.lit("it").alias("language"))
+    return books.entries(meta, found, pics.select("book_id", "a.name", F.encode("a.name", "UTF-8").alias("content")), covers)
+
+
+@query
+def epub_entries(spark, d):
+    return _entries(spark, d).select("book_id", "entry_path", F.length("content").cast("long").alias("n_bytes"))
+
+
 @query
 def epub_package(spark, d):
-    pages = fixtures.pages(spark, d)
-    made = book.markdown(pages)
-    found = books.explode_chapters(made, chapters.adaptive(C("cleaned")))
-    bodies = found.select("book_id", F.concat(F.lit("OEBPS/"), F.regexp_replace("filename", r"\.xhtml$", ".md")).alias("entry_path"), C("body").alias("text"))
-    nav = books.nav_document(books.toc(found)).select("book_id", F.lit("OEBPS/nav.xhtml"), "content")
-    listed = F.array_sort(F.collect_list(F.struct("kind", "item")))
-    items = books.manifest(found, _images(spark, d)).groupBy("book_id").agg(F.array_join(F.transform(listed, lambda r: r["item"]), "\n").alias("manifest"))
-    meta = items.join(books.spine(found), "book_id").select("book_id", C("book_id").alias("title"), F.lit("Unknown").alias("author"), F.lit("it").alias("language"), "manifest", "spine")
-    opf = books.package_document(meta).select("book_id", F.lit("OEBPS/content.opf"), "content")
-    done = package.packages(bodies.union(nav).union(opf))
+    done = package.packages(_entries(spark, d))
     return done.select("book_id", "n_entries", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -9,6 +9,10 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quire.functions import text
 
 MIMETYPE = "application/epub+zip"
 CONTAINER = (
@@ -39,28 +43,39 @@ def render_markdown(md: str) -> str:
     return "\n".join(out)
 
 
-def chapter_document(body: str) -> str:
-    return f'<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head><title/><link rel="stylesheet" href="style.css"/></head>\n<body>\n{render_markdown(body)}\n</body>\n</html>'
+@F.pandas_udf(StringType())
+def _rendered(md: pd.Series) -> pd.Series:
+    return md.map(render_markdown)
+
+
+HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head><title/><link rel="stylesheet" href="style.css"/></head>\n<body>\n'
+
+
+def chapter_documents(entries: DataFrame) -> DataFrame:
+    """Entries whose chapters (path ends in .md) have become XHTML documents with images that keep inside their page."""
+    md = F.col("entry_path").endswith(".md")
+    page = F.concat(F.lit(HEAD), text.responsive_images(_rendered(F.when(md, F.col("text")).otherwise(""))), F.lit("\n</body>\n</html>"))
+    return entries.withColumn("text", F.when(md, page).otherwise(F.col("text"))).withColumn("entry_path", F.regexp_replace("entry_path", r"\.md$", ".xhtml"))
 
 
 def packages(entries: DataFrame) -> DataFrame:
-    """(book_id, n_entries, content) from (book_id, entry_path, text): a zip with the type entry first and stored, all others
-    deflated in the order of their paths, with a fixed time, so that a book built again is the same. Chapters
-    (path ends in .md) become XHTML documents. A task holds one book."""
+    """(book_id, n_entries, content) from entries (see books.entries): a zip with the type entry first and stored, all others
+    deflated in the order of their paths, with a fixed time, so that a book built again is the same. An entry is its text
+    or, without one, its bytes. A task holds one book."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w") as z:
             z.writestr(zipfile.ZipInfo("mimetype", (2000, 1, 1, 0, 0, 0)), MIMETYPE, zipfile.ZIP_STORED)
-            fixed = pd.DataFrame([("META-INF/container.xml", CONTAINER), ("OEBPS/style.css", STYLE)], columns=["entry_path", "text"])
-            for path, text in sorted(pd.concat([fixed, f[["entry_path", "text"]]]).itertuples(index=False)):
-                if path.endswith(".md"):
-                    path, text = path[:-3] + ".xhtml", chapter_document(text)
-                z.writestr(zipfile.ZipInfo(path, (2000, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+            own = {"META-INF/container.xml": CONTAINER, "OEBPS/style.css": STYLE}
+            own |= {path: t if t is not None else c for path, t, c in zip(f.entry_path, f.text, f.content, strict=True)}
+            for path in sorted(own):
+                z.writestr(zipfile.ZipInfo(path, (2000, 1, 1, 0, 0, 0)), own[path], zipfile.ZIP_DEFLATED)
             n = len(z.namelist())
         return pd.DataFrame([(f.book_id.iloc[0], n, buf.getvalue())], columns=["book_id", "n_entries", "content"])
 
-    return entries.groupBy("book_id").applyInPandas(run, "book_id string, n_entries long, content binary")
+    done = chapter_documents(entries).select("book_id", "entry_path", "text", "content")
+    return done.groupBy("book_id").applyInPandas(run, "book_id string, n_entries long, content binary")
 
 
 def write(books: DataFrame, path: str) -> DataFrame:

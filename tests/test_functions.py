@@ -116,3 +116,23 @@ def test_settings(tmp_path):
     assert not config.model_available(str(tmp_path))
     (tmp_path / "s2").write_text("")
     assert config.model_available(str(tmp_path))
+
+
+def test_progress_of_phases(spark):
+    """The share of a download, 100 when done, 50 while verifying, else 0."""
+    rows = [("download_wheel", 30, 120), ("download_wheel", 500, 100), ("download_wheel", 5, 0), ("done", 0, 0), ("verify", 9, 10), ("extract", 9, 10), ("error", 1, 2), ("starting", 0, 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, phase string, d double, t long".replace("d double", "d long"))
+    got = [r.x for r in df.orderBy("i").select(formats.progress_percent(C("phase"), C("d"), C("t")).alias("x")).collect()]
+    assert got == [25.0, 100.0, None, 100.0, 50.0, 0.0, 0.0, 0.0]
+
+
+def test_speed_and_rest(spark):
+    df = spark.createDataFrame([(1024.0, 4096.0, 2.0), (10.0, 0.0, 1.0), (0.0, 10.0, 5.0), (10.0, 20.0, 0.0)], "d double, t double, e double")
+    got = [tuple(r) for r in df.select(formats.speed(C("d"), C("e")), formats.eta(C("d"), C("t"), C("e"))).collect()]
+    assert got == [(512.0, 6.0), (10.0, 0.0), (0.0, 0.0), (10000.0, 0.001)]
+
+
+def test_event_lines(spark):
+    df = spark.createDataFrame([("ocr", "m", 10, 50.0, 3.0), ("ocr", "m", 10, 0.0, 3.0), ("done", "m", 0, 50.0, 1234.0)], "p string, m string, t long, x double, e double")
+    got = [r.x for r in df.select(formats.format_event_line(C("p"), C("m"), C("t"), C("x"), C("e")).alias("x")).collect()]
+    assert got == [f"[OCR       ] t=   3.0s [{'█' * 10}{' ' * 10}]  50.0% m", "[OCR       ] t=   3.0s m", "[DONE      ] t=1234.0s m"]
