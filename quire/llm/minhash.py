@@ -205,15 +205,40 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
+def _items(ws: Workspace, apart: DataFrame) -> DataFrame:
+    """(item, rep, comp): the rows of each pair of blocks that have to meet, from apart (token, rep, comp, n).
+
+    In a list a component of more than a block is a unit of its own, whose rows need not meet one another; all smaller ones
+    are one unit. So a family that fills a list is held against the few that are not of it, not against itself."""
+    many = lambda c, m: (F.col(c) > BLOCK) | (F.col(m) > MASS)
+    each = apart.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    each = each.select("token", "comp", "c", "m", (~many("c", "m")).alias("pool"), F.when(many("c", "m"), F.col("comp")).otherwise(F.lit(0)).alias("unit"))
+    units = each.groupBy("token", "pool", "unit").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.least("c", F.ceil(F.col("m") / MASS)))
+    units = ws.save(units.select("token", F.struct("pool", "unit").alias("u"), blocks.alias("nb")))
+    one, two = units.toDF("token", "u1", "n1"), units.toDF("token", "u2", "n2")
+    pairs = one.join(two, "token").where((F.col("u1") < F.col("u2")) | (F.col("u1") == F.col("u2")) & F.col("u1.pool"))
+    rows = apart.join(each.select("token", "comp", F.struct("pool", "unit").alias("u")), ["token", "comp"])
+
+    def side(own: int, other: int) -> DataFrame:
+        met = rows.join(pairs.withColumnRenamed(f"u{own}", "u"), ["token", "u"])
+        if own == 2:
+            met = met.where(F.col("u1") != F.col("u"))  # of a unit with itself one side tells all
+        block = F.pmod(F.xxhash64("rep"), F.col(f"n{own}"))
+        met = met.select("token", "rep", "comp", F.col("u").alias(f"u{own}"), f"u{other}", block.alias(f"b{own}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1)).alias(f"b{other}"))
+        same = F.col("u1") == F.col("u2")
+        low, high = F.least("b1", "b2"), F.greatest("b1", "b2")
+        names = ["token", "u1.pool", "u1.unit", "u2.pool", "u2.unit"]
+        item = F.concat_ws(":", *[F.col(c).cast("string") for c in names], F.when(same, low).otherwise(F.col("b1")).cast("string"), F.when(same, high).otherwise(F.col("b2")).cast("string"))
+        return met.select(item.alias("item"), "rep", "comp")
+
+    return side(1, 2).union(side(2, 1))
+
+
 def _across(ws: Workspace, apart: DataFrame, sigs: DataFrame, bodies: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join what lists still hold apart, confirmed on full sets; of each block pair only a spanning forest."""
-    mass = apart.join(sigs.select("rep", "n"), "rep").groupBy("token").agg(F.sum("n").alias("mass"))
-    sized = apart.join(mass, "token").withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.least("size", F.ceil(F.col("mass") / MASS))))
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # a work item is an unordered pair of a list's blocks; a row goes to the items of its block
-    items = sized.select("token", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    items = items.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "comp")
-    keyed = pa.schema([("token", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64())])
+    items = _items(ws, apart.join(sigs.select("rep", "n"), "rep"))
+    keyed = pa.schema([("item", pa.string()), ("rep", pa.int64()), ("comp", pa.int64())])
     two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     need, (num, den) = needed(threshold), threshold
 
@@ -223,7 +248,7 @@ def _across(ws: Workspace, apart: DataFrame, sigs: DataFrame, bodies: DataFrame,
         some = [k for k in range(len(sig)) if ((_matches(sig, sig[k]) >= need) & (comp != comp[k])).any()]
         return t.select(keyed.names).take(pa.array(some, pa.int64())).cast(keyed)
 
-    left = ws.save(items.join(sigs.select("rep", "sig"), "rep").groupBy("token", "x", "y").applyInArrow(collide, "token long, x long, y long, rep long, comp long"))
+    left = ws.save(items.join(sigs.select("rep", "sig"), "rep").groupBy("item").applyInArrow(collide, "item string, rep long, comp long"))
 
     def confirm(t: pa.Table) -> pa.Table:
         rep, comp = (np.asarray(t.column(k)) for k in ("rep", "comp"))
@@ -234,7 +259,7 @@ def _across(ws: Workspace, apart: DataFrame, sigs: DataFrame, bodies: DataFrame,
         found = [(rep[i], rep[j]) for i, j in _forest(len(sets), link)]
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=two)
 
-    links = ws.save(left.join(bodies, "rep").groupBy("token", "x", "y").applyInArrow(confirm, "a long, b long").distinct())
+    links = ws.save(left.join(bodies, "rep").groupBy("item").applyInArrow(confirm, "a long, b long").distinct())
     ws.drop(left, apart)
     return links
 

@@ -71,6 +71,38 @@ def test_family_of_copies(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in minhash.near_duplicates(df, threshold=th).collect())
 
 
+def test_families_in_blocks(spark, monkeypatch):
+    """Families larger than a block, with strays that only some of them reach."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "MASS", 3000)
+    rng = random.Random(15)
+    rows = []
+    for f in range(3):
+        base = prose(rng, 150).split()
+        for i in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, 9)):
+                w[rng.randrange(len(w))] = prose(rng, 1) + str(i)
+            rows.append((100 * f + i, " ".join(w)))
+    df = spark.createDataFrame([(i, t) + (None,) * 8 for i, t in rows], DOCS)
+    for th in ((85, 100), (80, 100)):
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, threshold=th).collect()]
+        assert key(got) == key(brute(rows, *th))
+
+
+def test_blocks_of_a_list_meet_once(spark, monkeypatch):
+    """Every two rows of different components meet in an item; rows of a large component only among others."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    comp = [0] * 30 + [1] * 11 + [2, 3, 3, 4, 5, 6, 6, 7, 8, 9]
+    df = spark.createDataFrame([(9, i, c, 10) for i, c in enumerate(comp)], "token long, rep long, comp long, n long")
+    got = collections.defaultdict(set)
+    for r in minhash._items(Workspace(spark, "items"), df).collect():
+        got[r.item].add(r.rep)
+    met = {(i, j) for x in got.values() for i in x for j in x if i < j and comp[i] != comp[j]}
+    assert met == {(j, i) for i in range(len(comp)) for j in range(i) if comp[i] != comp[j]}
+    assert max(map(len, got.values())) < 24
+
+
 def test_deduplicate(spark, odd, nothing):
     out = minhash.deduplicate(odd)
     assert out.columns == odd.columns
