@@ -38,3 +38,15 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_tables(spark, folder, nothing, tmp_path):
+    """No documents, or no labels: every stage gives a table, with the columns of documents but for the last."""
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+    clean = corpus_pipeline.reject_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), str(tmp_path))
+    assert clean.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
