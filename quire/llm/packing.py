@@ -112,8 +112,10 @@ class UnitTokenizer:
                 self._add(h[k], np.diff(ends, prepend=0), ids)
             else:  # a vocabulary whose words cannot be told apart: one by one
                 other = np.concatenate([other, k])
-        got = [e.ids for e in self.tok.encode_batch_fast([units[j] for j in other], add_special_tokens=False)]
-        self._add(h[other], np.array([len(x) for x in got], np.int64), np.array([y for x in got for y in x], np.uint32))
+        for i in range(0, len(other), 4096):  # an encoding takes far more memory than its ids
+            k = other[i : i + 4096]
+            got = [e.ids for e in self.tok.encode_batch_fast([units[j] for j in k], add_special_tokens=False)]
+            self._add(h[k], np.array([len(x) for x in got], np.int64), np.array([y for x in got for y in x], np.uint32))
 
     def _units(self, buf: np.ndarray, off: np.ndarray):
         """Starts and ends of units, whether they are letters, lower-cased bytes."""
