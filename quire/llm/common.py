@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,14 +24,26 @@ def crc_mod(col: str, m: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
 
 
+def give_back() -> None:
+    """Returns what was freed to the system: workers are reused, and it would count against the next operator's tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow in batches that are bounded by rows and bytes. The session's settings are read when the plan is made, so
     they are lowered here and stay so."""
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def bloom_filters(spark: SparkSession) -> None:

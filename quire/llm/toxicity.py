@@ -171,7 +171,7 @@ class Table:
         return zlib.compress(self.ratio.tobytes(), 1)
 
     def __setstate__(self, state: bytes) -> None:
-        self.ratio = np.frombuffer(zlib.decompress(state), np.float16)
+        self.ratio = np.frombuffer(zlib.decompress(state, bufsize=2 * EVENTS), np.float16)
 
 
 @dataclass
@@ -240,23 +240,29 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     summed = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 
     def add(batches):
-        seen, sums = np.zeros(4, np.int64), {}
+        seen, own, at = np.zeros(4, np.int64), np.zeros(4 * EVENTS // CHUNKS, np.int64), -1
+
+        def take():
+            some = np.flatnonzero(own)
+            for i in range(0, len(some), 1 << 16):
+                k = some[i : i + (1 << 16)]
+                yield tk.batch(summed, code=k + at * len(own), n=own[k])
+            own[:] = 0
+
         for b in batches:
             for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if c < 0:
                     seen += np.frombuffer(x, np.int64)
                     continue
+                if c != at:
+                    yield from take()
+                    at = c
                 code, n = _unpack(x)
-                own = sums.setdefault(c, np.zeros(4 * EVENTS // CHUNKS, np.int64))
                 own[code - c * len(own)] += n
+        yield from take()
         yield tk.batch(summed, code=[-4, -3, -2, -1], n=seen)
-        for c, own in sums.items():
-            some = np.flatnonzero(own)
-            for i in range(0, len(some), 1 << 16):
-                k = some[i : i + (1 << 16)]
-                yield tk.batch(summed, code=k + c * len(own), n=own[k])
 
-    parts = arrow_pass(rows, count, "chunk int, counts binary").repartition(CHUNKS // 4, "chunk")
+    parts = arrow_pass(rows, count, "chunk int, counts binary").repartition(CHUNKS // 4, "chunk").sortWithinPartitions("chunk")
     sums = arrow_pass(parts, add, "code int, n long").toArrow()
     code, n = np.asarray(sums.column("code")), np.asarray(sums.column("n"))
     seen = np.bincount(code[code < 0] + 4, n[code < 0], 4).reshape(2, 2)
@@ -277,24 +283,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     halves = []
     for h in (0, 1):
         own = n[h].any(axis=0)
-        halves.append(Table(log_ratios(key[own], n[h][:, own])))
-    shared = docs.sparkSession.sparkContext.broadcast(halves)  # two tables of fixed size
+        halves.append(docs.sparkSession.sparkContext.broadcast(Table(log_ratios(key[own], n[h][:, own]))))  # of fixed size
     names = [f"x{k}" for k in range(_FEATURES)]
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), *((k, pa.float64()) for k in names)])
 
-    def weigh(batches):
-        for b in batches:
-            half = np.asarray(b.column(3))
-            for a, e, buf, off in tk.slices(b.column(1)):
-                each = [evidence(t.ratio, buf, off) for t in shared.value]
-                x = np.where(half[a:e, None] == 0, each[1], each[0])
-                yield tk.batch(schema, id=b.column(0).slice(a, e - a), y=b.column(2).slice(a, e - a), **dict(zip(names, x.T, strict=True)))
-
-    picked = label_sample(docs, labels, id_col, text_col, label_col, sample_rows).select("id", "text", "y", _half("id"))
-    got = arrow_pass(picked, weigh, "id long, y int, " + ", ".join(f"{k} double" for k in names))
-    got = got.orderBy(F.xxhash64("id"), "id", "y", *names).limit(sample_rows).toArrow()
-    shared.unpersist()
-    del halves
+    def weigh(shared):
+        def run(batches):
+            for b in batches:
+                for a, e, buf, off in tk.slices(b.column(1)):
+                    x = evidence(shared.value.ratio, buf, off)
+                    yield tk.batch(schema, id=b.column(0).slice(a, e - a), y=b.column(2).slice(a, e - a), **dict(zip(names, x.T, strict=True)))
+
+        return run
+
+    # a pass for each half, so that a worker holds one table
+    picked = label_sample(docs, labels, id_col, text_col, label_col, sample_rows).select("id", "text", "y", _half("id").alias("half"))
+    each = [arrow_pass(picked.where(F.col("half") == h).select("id", "text", "y"), weigh(halves[1 - h]), "id long, y int, " + ", ".join(f"{k} double" for k in names)) for h in (0, 1)]
+    got = each[0].union(each[1]).orderBy(F.xxhash64("id"), "id", "y", *names).limit(sample_rows).toArrow()
+    for shared in halves:
+        shared.unpersist()
     x = np.stack([np.asarray(got.column(k)) for k in names], 1)
     return Model(Table(log_ratios(key, n.sum(axis=0))), _curve(x, np.asarray(got.column("y")).astype(float)), prior)
 
