@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import chapters, formats, geometry, markup, text
 from quire.functions.bind import let
 from quire.functions.chapters import PAGE_BREAK
+from quire.operators.unions import union
 
 SEPARATOR = f"\n\n{PAGE_BREAK}\n\n"
 PAGE_TAG = "(?i)<page>"
@@ -79,7 +80,7 @@ def explode_chapters(books: DataFrame, split: Column) -> DataFrame:
 def with_cover(found: DataFrame, covers: DataFrame) -> DataFrame:
     """Chapters (book_id, chapter_no, title, filename) and, first, the cover of each book that has one (book_id)."""
     first = covers.select("book_id", F.lit(-1).cast("long").alias("chapter_no"), F.lit("Cover").alias("title"), F.lit("cover.xhtml").alias("filename"))
-    return first.unionByName(found.select("book_id", "chapter_no", "title", "filename"))
+    return union(first, found.select("book_id", "chapter_no", "title", "filename"))
 
 
 def _listing(df: DataFrame, item: Column, order: str, sep: str, name: str) -> DataFrame:
@@ -101,7 +102,7 @@ def manifest(found: DataFrame, images: DataFrame) -> DataFrame:
     """(book_id, kind, item) for chapters and images (book_id, name); image ids have a prefix, so ids are unique."""
     pages = found.select("book_id", F.lit("chapter").alias("kind"), F.concat(F.lit('<item id="'), _stem(F.col("filename")), F.lit('" href="'), "filename", F.lit('" media-type="application/xhtml+xml"/>')).alias("item"))
     pics = images.select("book_id", F.lit("image").alias("kind"), F.concat(F.lit('<item id="img_'), _stem(F.col("name")), F.lit('" href="images/'), "name", F.lit('" media-type="'), formats.media_type(F.col("name")), F.lit('"/>')).alias("item"))
-    return pages.unionByName(pics)
+    return union(pages, pics)
 
 
 def spine(found: DataFrame) -> DataFrame:
@@ -134,16 +135,21 @@ def entries(meta: DataFrame, found: DataFrame, images: DataFrame, covers: DataFr
     meta (book_id, title, author, language); found chapters (see explode_chapters); images and covers (book_id, name,
     content), a cover's name being any."""
     none = F.lit(None)
-    pics = images.select("book_id", "name", "content").unionByName(covers.select("book_id", F.lit("cover.webp").alias("name"), "content"))
+    pics = union(images.select("book_id", "name", "content"), covers.select("book_id", F.lit("cover.webp").alias("name"), "content"))
     listed = with_cover(found, covers)
     lists = toc(listed).join(meta, "book_id", "right").withColumn("toc", F.coalesce("toc", F.lit("")))
     items = F.array_sort(F.collect_list(F.struct("kind", "item")))
     manifests = manifest(listed, pics).groupBy("book_id").agg(F.array_join(F.transform(items, lambda r: r["item"]), "\n").alias("manifest"))
     whole = meta.join(manifests, "book_id", "left").join(spine(listed), "book_id", "left").fillna("", ["manifest", "spine"])
-    out = found.select("book_id", F.concat(F.lit("OEBPS/"), F.regexp_replace("filename", r"\.xhtml$", ".md")).alias("entry_path"), F.col("body").alias("text"), none.cast("binary").alias("content"))
-    out = out.union(nav_document(lists).select("book_id", F.lit("OEBPS/nav.xhtml"), "content", none)).union(package_document(whole).select("book_id", F.lit("OEBPS/content.opf"), "content", none))
-    out = out.union(covers.select("book_id", F.lit("OEBPS/cover.xhtml"), F.lit(cover_document()), none))
-    return out.union(pics.select("book_id", F.concat(F.lit("OEBPS/images/"), "name"), none, "content"))
+
+    def entry(src: DataFrame, path: Column, text: Column = none.cast("string"), content: Column = none.cast("binary")) -> DataFrame:
+        return src.select("book_id", path.alias("entry_path"), text.alias("text"), content.alias("content"))
+
+    return union(
+        entry(found, F.concat(F.lit("OEBPS/"), F.regexp_replace("filename", r"\.xhtml$", ".md")), F.col("body")),
+        entry(nav_document(lists), F.lit("OEBPS/nav.xhtml"), F.col("content")), entry(package_document(whole), F.lit("OEBPS/content.opf"), F.col("content")),
+        entry(covers, F.lit("OEBPS/cover.xhtml"), F.lit(cover_document())), entry(pics, F.concat(F.lit("OEBPS/images/"), "name"), content=F.col("content")),
+    )
 
 
 def package_document(meta: DataFrame, modified: str = "2026-07-06T00:00:00Z") -> DataFrame:

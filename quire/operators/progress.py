@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.operators.unions import union
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def statuses(streams: DataFrame, chunks: DataFrame) -> DataFrame:
     whole = streams.select("stream_id").distinct().join(final(chunks), "stream_id", "left")
     last = chunks.groupBy("stream_id").agg(F.max("seq").alias("last"))
     done = whole.join(last, "stream_id", "left").select("stream_id", (F.coalesce("last", F.lit(-1)) + 1).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), F.lit("done").alias("status"))
-    return said.unionByName(done)
+    return union(said, done)
 
 
 def readings(stated: DataFrame) -> DataFrame:
@@ -83,17 +84,17 @@ def run_events(batched: DataFrame, crops: DataFrame, optimize: bool = True, part
     batch = say("reading pages ", F.col("batch_start"), "-", F.col("batch_end"), "/", F.col("total"))
     numbers = {"current": F.col("batch_start"), "total": F.col("total"), "percent": F.col("percent")}
     out = event(books, [F.lit(0)], "rendering", F.lit("rendering"))
-    out = out.union(event(books, [F.lit(1)], "rendering", say("rendered pages: ", n), n, n, F.lit(100.0)))
-    out = out.union(event(each, [F.lit(2), F.col("batch_id")], "ocr", batch, **numbers))
+    out = union(out, event(books, [F.lit(1)], "rendering", say("rendered pages: ", n), n, n, F.lit(100.0)))
+    out = union(out, event(each, [F.lit(2), F.col("batch_id")], "ocr", batch, **numbers))
     if partial is not None:
         told = each.join(partial, ["book_id", "batch_id"])
-        out = out.union(event(told, [F.lit(2), F.col("batch_id"), F.col("part") + 1], "ocr", F.concat(batch, F.lit("\n"), text.tail(F.col("text"))), **numbers, transient=True))
-    out = out.union(event(books, [F.lit(3)], "cleaning", F.lit("cleaning text")))
-    out = out.union(event(books, [F.lit(4)], "cropping", say("cut images: ", crops_), crops_, crops_, F.lit(100.0)))
+        out = union(out, event(told, [F.lit(2), F.col("batch_id"), F.col("part") + 1], "ocr", F.concat(batch, F.lit("\n"), text.tail(F.col("text"))), **numbers, transient=True))
+    out = union(out, event(books, [F.lit(3)], "cleaning", F.lit("cleaning text")))
+    out = union(out, event(books, [F.lit(4)], "cropping", say("cut images: ", crops_), crops_, crops_, F.lit(100.0)))
     if optimize:
-        out = out.union(event(books.where("crops > 0"), [F.lit(5)], "optimizing", F.lit("optimizing images")))
-    out = out.union(event(books, [F.lit(6)], "compiling", F.lit("compiling the book")))
-    out = out.union(event(books, [F.lit(7)], "done", say("pages done: ", n), n, n, F.lit(100.0)))
+        out = union(out, event(books.where("crops > 0"), [F.lit(5)], "optimizing", F.lit("optimizing images")))
+    out = union(out, event(books, [F.lit(6)], "compiling", F.lit("compiling the book")))
+    out = union(out, event(books, [F.lit(7)], "done", say("pages done: ", n), n, n, F.lit(100.0)))
     nth = F.row_number().over(Window.partitionBy("book_id").orderBy("at")) - 1
     return out.withColumn("seq", long(nth)).drop("at")
 

@@ -96,6 +96,20 @@ def test_package_holds_what_its_manifest_lists(spark):
         assert "cover.xhtml" not in nav and all(f'href="{x}"' in nav for x in listed if x.startswith("chap_"))
 
 
+def test_packages_without_broadcasts(spark):
+    """Tables too large to be broadcast meet by sort-merge joins, which rest on how the unions below them are dealt."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        listed = {(r.book_id, r.n) for r in core.epub_entries(spark, SF).groupBy("book_id").agg(F.count("*").alias("n")).collect()}
+        got = core.epub_package(spark, SF).collect()
+    finally:
+        spark.conf.set(key, before)
+    # the type, container and style entries come on top
+    assert {(r.book_id, r.n_entries - 3) for r in got} == listed and len(got) == len(listed)
+
+
 def test_surplus_and_missing_segments(spark):
     pages = spark.createDataFrame([("b", i, i) for i in (1, 2, 3)], "book_id string, page_num int, doc_id int")
     placed = books.batches(pages, 2)
