@@ -88,36 +88,52 @@ def _listing(df: DataFrame, item: Column, order: str, sep: str, name: str) -> Da
     return df.groupBy("book_id").agg(F.array_join(F.transform(rows, lambda r: r["x"]), sep).alias(name))
 
 
+def _toc_item(filename: Column, title: Column) -> Column:
+    return F.concat(F.lit('<li><a href="'), filename, F.lit('">'), text.xml_escape(title), F.lit("</a></li>"))
+
+
 def toc(found: DataFrame) -> DataFrame:
     """(book_id, toc): the navigation list; the cover is not in it."""
-    item = F.concat(F.lit('<li><a href="'), "filename", F.lit('">'), text.xml_escape(F.col("title")), F.lit("</a></li>"))
-    return _listing(found.where(F.col("filename") != "cover.xhtml"), item, "chapter_no", "\n", "toc")
+    return _listing(found.where(F.col("filename") != "cover.xhtml"), _toc_item(F.col("filename"), F.col("title")), "chapter_no", "\n", "toc")
 
 
 def _stem(c: Column) -> Column:
     return F.regexp_replace(c, r"\.[^.]*$", "")
 
 
+def _chapter_item(filename: Column) -> Column:
+    return F.concat(F.lit('<item id="'), _stem(filename), F.lit('" href="'), filename, F.lit('" media-type="application/xhtml+xml"/>'))
+
+
+def _image_item(name: Column) -> Column:
+    return F.concat(F.lit('<item id="img_'), _stem(name), F.lit('" href="images/'), name, F.lit('" media-type="'), formats.media_type(name), F.lit('"/>'))
+
+
 def manifest(found: DataFrame, images: DataFrame) -> DataFrame:
     """(book_id, kind, item) for chapters and images (book_id, name); image ids have a prefix, so ids are unique."""
-    pages = found.select("book_id", F.lit("chapter").alias("kind"), F.concat(F.lit('<item id="'), _stem(F.col("filename")), F.lit('" href="'), "filename", F.lit('" media-type="application/xhtml+xml"/>')).alias("item"))
-    pics = images.select("book_id", F.lit("image").alias("kind"), F.concat(F.lit('<item id="img_'), _stem(F.col("name")), F.lit('" href="images/'), "name", F.lit('" media-type="'), formats.media_type(F.col("name")), F.lit('"/>')).alias("item"))
-    return union(pages, pics)
+    pages = found.select("book_id", F.lit("chapter").alias("kind"), _chapter_item(F.col("filename")).alias("item"))
+    return union(pages, images.select("book_id", F.lit("image").alias("kind"), _image_item(F.col("name")).alias("item")))
+
+
+def _spine_item(filename: Column) -> Column:
+    return F.concat(F.lit('<itemref idref="'), _stem(filename), F.lit('"/>'))
 
 
 def spine(found: DataFrame) -> DataFrame:
-    item = F.concat(F.lit('<itemref idref="'), _stem(F.col("filename")), F.lit('"/>'))
-    return _listing(found, item, "chapter_no", "\n    ", "spine")
+    return _listing(found, _spine_item(F.col("filename")), "chapter_no", "\n    ", "spine")
 
 
-def nav_document(lists: DataFrame, heading: str = "Contents") -> DataFrame:
-    """(book_id, content) of the navigation document from (book_id, toc) and, if there, the title of each book."""
-    title = text.xml_escape(F.col("title" if "title" in lists.columns else "book_id"))
+def _nav(toc: Column, title: Column, heading: str) -> Column:
     page = (
-        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>', title,
-        '</title><link rel="stylesheet" href="style.css"/></head>\n<body><nav epub:type="toc">\n', f"<h2>{heading}</h2>\n<ol>\n", F.col("toc"), "\n</ol>\n</nav></body>\n</html>",
+        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>', text.xml_escape(title),
+        '</title><link rel="stylesheet" href="style.css"/></head>\n<body><nav epub:type="toc">\n', f"<h2>{heading}</h2>\n<ol>\n", toc, "\n</ol>\n</nav></body>\n</html>",
     )
-    return lists.select("book_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in page]).alias("content"))
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in page])
+
+
+def nav_document(lists: DataFrame, heading: str = "Contents") -> DataFrame:
+    """(book_id, content) of the navigation document from (book_id, toc) and, if there, the title of each book."""
+    return lists.select("book_id", _nav(F.col("toc"), F.col("title" if "title" in lists.columns else "book_id"), heading).alias("content"))
 
 
 def cover_document() -> str:
@@ -128,41 +144,68 @@ def cover_document() -> str:
     )
 
 
+def _of_book(df: DataFrame, name: str, *cols: str) -> DataFrame:
+    return df.groupBy("book_id").agg(F.collect_list(F.struct(*cols)).alias(name))
+
+
 def entries(meta: DataFrame, found: DataFrame, images: DataFrame, covers: DataFrame) -> DataFrame:
     """(book_id, entry_path, text, content) of all that a package holds beside its fixed entries: chapters as Markdown, the
     navigation and package documents, images and, for books that have one, the cover's page and image.
 
     meta (book_id, title, author, language); found chapters (see explode_chapters); images and covers (book_id, name,
-    content), a cover's name being any."""
-    none = F.lit(None)
-    pics = union(images.select("book_id", "name", "content"), covers.select("book_id", F.lit("cover.webp").alias("name"), "content"))
-    listed = with_cover(found, covers)
-    lists = toc(listed).join(meta, "book_id", "right").withColumn("toc", F.coalesce("toc", F.lit("")))
-    items = F.array_sort(F.collect_list(F.struct("kind", "item")))
-    manifests = manifest(listed, pics).groupBy("book_id").agg(F.array_join(F.transform(items, lambda r: r["item"]), "\n").alias("manifest"))
-    whole = meta.join(manifests, "book_id", "left").join(spine(listed), "book_id", "left").fillna("", ["manifest", "spine"])
-
-    def entry(src: DataFrame, path: Column, text: Column = none.cast("string"), content: Column = none.cast("binary")) -> DataFrame:
-        return src.select("book_id", path.alias("entry_path"), text.alias("text"), content.alias("content"))
-
-    return union(
-        entry(found, F.concat(F.lit("OEBPS/"), F.regexp_replace("filename", r"\.xhtml$", ".md")), F.col("body")),
-        entry(nav_document(lists), F.lit("OEBPS/nav.xhtml"), F.col("content")), entry(package_document(whole), F.lit("OEBPS/content.opf"), F.col("content")),
-        entry(covers, F.lit("OEBPS/cover.xhtml"), F.lit(cover_document())), entry(pics, F.concat(F.lit("OEBPS/images/"), "name"), content=F.col("content")),
-    )
+    content), a cover's name being any. Each table is read once and becomes one row a book; chapters are joined last, so that
+    those dealt by book are not dealt again."""
+    whole = _of_book(meta, "meta", "title", "author", "language")
+    for df, name, cols in ((images, "images", ("name", "content")), (covers, "covers", ("content",)), (found, "chapters", ("chapter_no", "title", "filename", "body"))):
+        whole = whole.join(_of_book(df, name, *cols), "book_id", "full")
+    have = lambda c: F.coalesce(F.col(c), F.array())
+    whole = whole.select("book_id", *[have(c).alias(c) for c in ("meta", "images", "covers", "chapters")])
+
+    cover = lambda f: F.transform("covers", lambda _: f)
+    joined = lambda rows, sep: F.array_join(F.transform(F.array_sort(rows), lambda r: r["x"]), sep)
+    placed = lambda no, x: F.struct(no.alias("o"), x.alias("x"))
+    first, page = F.lit(-1).cast("long"), F.lit("cover.xhtml")
+    shown = F.filter("chapters", lambda c: c["filename"] != "cover.xhtml")
+    toc_ = joined(F.transform(shown, lambda c: placed(c["chapter_no"], _toc_item(c["filename"], c["title"]))), "\n")
+    spine_ = joined(F.concat(cover(placed(first, _spine_item(page))), F.transform("chapters", lambda c: placed(c["chapter_no"], _spine_item(c["filename"])))), "\n    ")
+    chapter, image = F.lit("chapter"), F.lit("image")
+    manifest_ = joined(F.concat(
+        cover(placed(chapter, _chapter_item(page))), F.transform("chapters", lambda c: placed(chapter, _chapter_item(c["filename"]))),
+        cover(placed(image, _image_item(F.lit("cover.webp")))), F.transform("images", lambda i: placed(image, _image_item(i["name"])))), "\n")
+    whole = whole.select("*", toc_.alias("toc"), spine_.alias("spine"), manifest_.alias("manifest"))
+
+    def entry(path: Column, text: Column | None = None, content: Column | None = None) -> Column:
+        text, content = F.lit(None).cast("string") if text is None else text, F.lit(None).cast("binary") if content is None else content
+        return F.struct(F.concat(F.lit("OEBPS/"), path).alias("entry_path"), text.alias("text"), content.alias("content"))
+
+    every = F.concat(
+        F.transform("chapters", lambda c: entry(F.regexp_replace(c["filename"], r"\.xhtml$", ".md"), c["body"])),
+        F.transform("meta", lambda m: entry(F.lit("nav.xhtml"), _nav(F.col("toc"), m["title"], "Contents"))),
+        F.transform("meta", lambda m: entry(F.lit("content.opf"), _package(F.col("book_id"), m["title"], m["author"], m["language"], F.col("manifest"), F.col("spine")))),
+        cover(entry(page, F.lit(cover_document()))), F.transform("covers", lambda c: entry(F.lit("images/cover.webp"), content=c["content"])),
+        F.transform("images", lambda i: entry(F.concat(F.lit("images/"), i["name"]), content=i["content"])))
+    return whole.select("book_id", F.explode(every).alias("e")).select("book_id", "e.*")
+
+
+MODIFIED = "2026-07-06T00:00:00Z"
+
+
+def _package(book_id: Column, title: Column, author: Column, language: Column, manifest: Column, spine: Column, modified: str = MODIFIED) -> Column:
+    e = text.xml_escape
+    md5 = F.md5(book_id.cast("binary"))
+    urn = F.concat_ws("-", *[F.substring(md5, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.concat(
+        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid">\n<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n<dc:identifier id="bookid">urn:uuid:'),
+        urn, F.lit("</dc:identifier>\n<dc:title>"), e(title), F.lit("</dc:title>\n<dc:creator>"), e(author), F.lit("</dc:creator>\n<dc:language>"), e(language),
+        F.lit(f'</dc:language>\n<meta property="dcterms:modified">{modified}</meta>\n</metadata>\n<manifest>\n<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>\n<item id="css" href="style.css" media-type="text/css"/>\n'),
+        manifest, F.lit("\n</manifest>\n<spine>\n"), spine, F.lit("\n</spine>\n</package>"))
 
 
-def package_document(meta: DataFrame, modified: str = "2026-07-06T00:00:00Z") -> DataFrame:
+def package_document(meta: DataFrame, modified: str = MODIFIED) -> DataFrame:
     """(book_id, content) of the package document from (book_id, title, author, language, manifest, spine). The identifier
     is a hash of the book's id, so that a book built again is the same."""
-    e = lambda c: text.xml_escape(F.col(c))
-    md5 = F.md5(F.col("book_id").cast("binary"))
-    urn = F.concat_ws("-", *[F.substring(md5, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return meta.select("book_id", F.concat(
-        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid">\n<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n<dc:identifier id="bookid">urn:uuid:'),
-        urn, F.lit("</dc:identifier>\n<dc:title>"), e("title"), F.lit("</dc:title>\n<dc:creator>"), e("author"), F.lit("</dc:creator>\n<dc:language>"), e("language"),
-        F.lit(f'</dc:language>\n<meta property="dcterms:modified">{modified}</meta>\n</metadata>\n<manifest>\n<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>\n<item id="css" href="style.css" media-type="text/css"/>\n'),
-        "manifest", F.lit("\n</manifest>\n<spine>\n"), "spine", F.lit("\n</spine>\n</package>")).alias("content"))
+    parts = [F.col(c) for c in ("book_id", "title", "author", "language", "manifest", "spine")]
+    return meta.select("book_id", _package(*parts, modified).alias("content"))
 
 
 def zip_boxes(pages: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -110,6 +110,27 @@ def test_packages_without_broadcasts(spark):
     assert {(r.book_id, r.n_entries - 3) for r in got} == listed and len(got) == len(listed)
 
 
+def test_packages_make_their_chapters_once(spark):
+    plan = _plan(core.epub_package(spark, SF))
+    assert plan.count("FileScan") <= 4  # meta, chapters, images, covers
+
+
+def test_entries_of_odd_books(spark):
+    """Books that only some tables know, and one that is described twice, lose nothing."""
+    meta = spark.createDataFrame([("a", "A & B", "x", "it"), ("b", "B", "x", "it"), ("b", "B2", "x", "it")], "book_id string, title string, author string, language string")
+    found = spark.createDataFrame([("a", 1, "T2", "chap_0001.xhtml", "y"), ("a", 0, "T1", "chap_0000.xhtml", "x"), ("c", 0, "T", "chap_0000.xhtml", "z")], "book_id string, chapter_no long, title string, filename string, body string")
+    images = spark.createDataFrame([("a", "p.png", b"1"), ("d", "q.webp", b"2")], "book_id string, name string, content binary")
+    covers = spark.createDataFrame([("a", b"3"), ("e", b"4")], "book_id string, content binary")
+    got = books.entries(meta, found, images, covers).collect()
+    names = sorted((r.book_id, r.entry_path.removeprefix("OEBPS/")) for r in got)
+    assert names == [("a", x) for x in ("chap_0000.md", "chap_0001.md", "content.opf", "cover.xhtml", "images/cover.webp", "images/p.png", "nav.xhtml")] + [
+        ("b", "content.opf"), ("b", "content.opf"), ("b", "nav.xhtml"), ("b", "nav.xhtml"), ("c", "chap_0000.md"), ("d", "images/q.webp"), ("e", "cover.xhtml"), ("e", "images/cover.webp")]
+    text = {r.entry_path: r.text for r in got if r.book_id == "a"}
+    assert "<title>A &amp; B</title>" in text["OEBPS/nav.xhtml"] and text["OEBPS/nav.xhtml"].index("T1") < text["OEBPS/nav.xhtml"].index("T2") and "cover" not in text["OEBPS/nav.xhtml"]
+    opf = text["OEBPS/content.opf"]
+    assert opf.count("<item ") == 7 and opf.index('idref="cover"') < opf.index('idref="chap_0000"') < opf.index('idref="chap_0001"')
+
+
 def test_surplus_and_missing_segments(spark):
     pages = spark.createDataFrame([("b", i, i) for i in (1, 2, 3)], "book_id string, page_num int, doc_id int")
     placed = books.batches(pages, 2)
