@@ -123,9 +123,14 @@ def spine(found: DataFrame) -> DataFrame:
     return _listing(found, _spine_item(F.col("filename")), "chapter_no", "\n    ", "spine")
 
 
+def _said(c: Column) -> Column:
+    """A value that may be unknown, as text of a document."""
+    return text.xml_escape(F.coalesce(c, F.lit("")))
+
+
 def _nav(toc: Column, title: Column, heading: str) -> Column:
     page = (
-        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>', text.xml_escape(title),
+        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>', _said(title),
         '</title><link rel="stylesheet" href="style.css"/></head>\n<body><nav epub:type="toc">\n', f"<h2>{heading}</h2>\n<ol>\n", toc, "\n</ol>\n</nav></body>\n</html>",
     )
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in page])
@@ -191,8 +196,8 @@ MODIFIED = "2026-07-06T00:00:00Z"
 
 
 def _package(book_id: Column, title: Column, author: Column, language: Column, manifest: Column, spine: Column, modified: str = MODIFIED) -> Column:
-    e = text.xml_escape
-    md5 = F.md5(book_id.cast("binary"))
+    e = _said
+    md5 = F.md5(F.coalesce(book_id, F.lit("")).cast("binary"))
     urn = F.concat_ws("-", *[F.substring(md5, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.concat(
         F.lit('<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid">\n<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n<dc:identifier id="bookid">urn:uuid:'),

@@ -61,14 +61,14 @@ def chapter_documents(entries: DataFrame) -> DataFrame:
 def packages(entries: DataFrame) -> DataFrame:
     """(book_id, n_entries, content) from entries (see books.entries): a zip with the type entry first and stored, all others
     deflated in the order of their paths, with a fixed time, so that a book built again is the same. An entry is its text
-    or, without one, its bytes. A task holds one book."""
+    or, without one, its bytes, and empty without either. A task holds one book."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w") as z:
             z.writestr(zipfile.ZipInfo("mimetype", (2000, 1, 1, 0, 0, 0)), MIMETYPE, zipfile.ZIP_STORED)
             own = {"META-INF/container.xml": CONTAINER, "OEBPS/style.css": STYLE}
-            own |= {path: t if t is not None else c for path, t, c in zip(f.entry_path, f.text, f.content, strict=True)}
+            own |= {path: next((x for x in (t, c) if x is not None), b"") for path, t, c in zip(f.entry_path, f.text, f.content, strict=True)}
             for path in sorted(own):
                 z.writestr(zipfile.ZipInfo(path, (2000, 1, 1, 0, 0, 0)), own[path], zipfile.ZIP_DEFLATED)
             n = len(z.namelist())

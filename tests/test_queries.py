@@ -131,6 +131,17 @@ def test_entries_of_odd_books(spark):
     assert opf.count("<item ") == 7 and opf.index('idref="cover"') < opf.index('idref="chap_0000"') < opf.index('idref="chap_0001"')
 
 
+def test_package_of_pages_without_a_source(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.col("source")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.book_id: r.n_entries for r in core.epub_package(spark, str(tmp_path)).collect()}
+    listed = core.epub_entries(spark, str(tmp_path)).groupBy("book_id").agg(F.count_distinct("entry_path").alias("n")).collect()
+    assert None in got and got == {r.book_id: r.n + 3 for r in listed}
+    whole = [r.content for r in package.packages(core._entries(spark, str(tmp_path))).collect() if r.book_id is None]
+    for name in ("OEBPS/nav.xhtml", "OEBPS/content.opf"):
+        ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(whole[0])).read(name))
+
+
 def test_surplus_and_missing_segments(spark):
     pages = spark.createDataFrame([("b", i, i) for i in (1, 2, 3)], "book_id string, page_num int, doc_id int")
     placed = books.batches(pages, 2)
