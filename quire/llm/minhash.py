@@ -42,6 +42,8 @@ COORDS = 64
 #: Sets of one list that are compared with one another in one task.
 BLOCK = 512
 MASS = 1 << 20
+#: Bytes of text that are hashed at once; the arrays take some twenty times as much.
+SLICE = 1 << 18
 #: Nodes of rows without an id begin here.
 _NAMELESS = 1 << 62
 
@@ -52,7 +54,7 @@ _PLACE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, 64, dtype=_
 
 def shingle_sets(col: pa.Array):
     """Sorted distinct shingle hashes of each row, in row order."""
-    for a, b, buf, off in tk.slices(col):
+    for a, b, buf, off in tk.slices(col, SLICE):
         low = tk.LOWER[buf]
         s, e, at = tk.word_spans(low, off)
         w = tk.span_hash(tk.prefix_hash(low), s, e)

@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import minhash, pstable
@@ -113,6 +115,19 @@ def test_deduplicate(spark, odd, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_shingles_are_hashed_in_small_slices():
+    rng = random.Random(5)
+    texts = pa.array([prose(rng, 300) for _ in range(500)])
+    want = list(minhash.shingle_sets(texts))
+    assert all(np.array_equal(x, next(minhash.shingle_sets(texts.slice(k, 1)))) for k, x in enumerate(want))
+    tracemalloc.start()
+    for _ in minhash.shingle_sets(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 1 << 20 and peak < 10 * texts.nbytes
+
+
 def test_common_sizes():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 500, 200).astype(np.uint64)) for _ in range(20)]

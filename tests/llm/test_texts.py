@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -237,6 +238,20 @@ def test_toxicity(spark, odd, odd_rows, nothing):
     assert toxicity.fit(nothing, labels, "y").prior == 0.0
 
 
+def test_toxicity_in_small_slices():
+    rng = random.Random(5)
+    texts = pa.array([prose(rng, 300) for _ in range(500)])
+    ratio = np.random.default_rng(0).normal(0, 1, toxicity.EVENTS).astype(np.float16)
+    model = toxicity.Model(toxicity.Table(ratio), np.array([0.3, 0.2, 0.1, 0.4, -1.0]), 0.1)
+    want = model.scores(texts)
+    assert np.allclose(want, [model.scores(texts.slice(k, 1))[0] for k in range(len(texts))], rtol=0, atol=1e-9)
+    tracemalloc.start()
+    model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 1 << 20 and peak < 16 * texts.nbytes
+
+
 def test_packed_counts():
     rng = np.random.default_rng(0)
     code = np.unique(rng.integers(0, 4 * toxicity.EVENTS, 5000))
